@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
-    from tallyglass.llm import byte_bpe, language_id
+    from tallyglass.llm import byte_bpe, language_id, near_dedup
 
     return {
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op6_language_id": language_id.op6_language_id,
+        "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }
 
 
