@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
-    from tallyglass.llm import byte_bpe, language_id, near_dedup
+    from tallyglass.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dedup, quality
 
     return {
+        "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op5_quality_rules": quality.op5_quality_rules,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op4_byte_bpe": byte_bpe.op4_byte_bpe,
         "op6_language_id": language_id.op6_language_id,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
@@ -20,4 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    from tallyglass.llm import decontaminate, line_dedup
+
+    return {"op3_decontaminate": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
