@@ -11,8 +11,8 @@ The sum over n-grams is linear, so prediction needs each distinct word's summed
 once per worker; whole texts are read.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and is rejected;
-a tie between languages goes to the first in alphabetical order; a sample without two labelled
-languages raises ValueError. Only the text is an input of a prediction.
+a tie between languages goes to the first in alphabetical order; without a labelled row every
+text is ``und``, with one language it is the only answer. Only the text is an input of a prediction.
 """
 
 from __future__ import annotations
@@ -131,8 +131,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], langs: list[str], settings: Settings = Settings()) -> Model:
     """Train on pieces of texts with their languages; calibrate on the held-back part."""
     names = sorted(set(langs))
-    if len(names) < 2:
-        raise ValueError("two languages at least are needed")
+    if not names:
+        raise ValueError("a labelled row at least is needed")
     label = np.array([names.index(x) for x in langs])
     grams = []
     for t in texts:
@@ -212,12 +212,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = fit(*sample(docs, keep=in_training(F.col("doc_id"))))
-    out = predict(docs.select("doc_id", "text"), model)
+    texts, langs = sample(docs, keep=in_training(F.col("doc_id")))
+    if not texts:  # nothing to learn from: every language is unknown
+        nothing = F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted")
+        return docs.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), *nothing)
+    out = predict(docs.select("doc_id", "text"), fit(texts, langs))
     return out.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is accepted, with the columns of documents."""
-    model = fit(*sample(docs, keep=in_training(F.col("doc_id"))))
-    return predict(docs, model).where("accepted").select(*docs.columns)
+    texts, langs = sample(docs, keep=in_training(F.col("doc_id")))
+    if not texts:  # nothing to learn from: nothing can be accepted
+        return docs.where(F.lit(False))
+    return predict(docs, fit(texts, langs)).where("accepted").select(*docs.columns)
