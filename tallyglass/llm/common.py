@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_SHIPPED: set[str] = set()
+
 #: Rows an Arrow batch may hold. Texts can be long, so batches stay small.
 ARROW_ROWS = 512
 
@@ -29,8 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: few texts per Arrow batch."""
+    """Make Python workers ready: few texts per Arrow batch, and this package on their path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(__file__).parents[2]
+        to = Path(tempfile.mkdtemp(prefix="package-"), "tallyglass.zip")
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted((root / "tallyglass").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        context.addPyFile(str(to))  # the driver serves it to every executor, also to new ones
+        _SHIPPED.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
