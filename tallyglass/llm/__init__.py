@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
-    from tallyglass.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dedup, quality
+    from tallyglass.llm import byte_bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, pseudonyms, quality
 
     return {
+        "op2_pseudonyms": pseudonyms.op2_pseudonyms,
+        "op8_license_scan": license_scan.op8_license_scan,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_quality_rules": quality.op5_quality_rules,
         "op9_line_dedup": line_dedup.op9_line_dedup,
@@ -23,6 +25,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    from tallyglass.llm import decontaminate, line_dedup
+    from tallyglass.llm import decontaminate, license_scan, line_dedup
 
-    return {"op3_decontaminate": decontaminate.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op8_license_scan": license_scan.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
