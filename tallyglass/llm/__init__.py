@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
-    from tallyglass.llm import byte_bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, pseudonyms, quality, token_counts
+    from tallyglass.llm import byte_bpe, decontaminate, language_id, license_scan, line_dedup, near_dedup, passages, pseudonyms, quality, token_counts
 
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_pseudonyms": pseudonyms.op2_pseudonyms,
+        "op7_substring_dedup": passages.op7_substring_dedup,
         "op8_license_scan": license_scan.op8_license_scan,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op5_quality_rules": quality.op5_quality_rules,
