@@ -16,8 +16,9 @@ class), and 80 of 100 shingles have to fail at once for a miss: 1.3e-5 at worst,
 shingles; below 1e-9 from 17 shingles on. Retrieved templates are confirmed by exact containment
 of the shingles (strings) in the windows of the document.
 
-Only built-in functions run. Signatures are made within the row and only minima that meet a
-template's leave it.
+A window whose band collides holds the template's minimum of that bin. So the minima are looked up
+among all shingles first, which loses nothing, and signatures are made of the windows around the
+hits only. Only built-in functions run.
 
 Defined results: null and empty texts hold nothing; a template found in several windows of a
 document is reported once, at the first window of highest overlap; repeated rows of a doc_id
@@ -111,24 +112,26 @@ def found_templates(docs: DataFrame, templates: dict[str, str] | None = None, do
     if any(c is None for c, _ in shapes):
         raise ValueError(f"a template has more than {CLASSES[-1]} shingles")
     source = docs.select(F.col(f"`{doc_id}`").alias("_doc"), words_of(F.col(f"`{text}`")).alias("_words")).where("_doc is not null")
-    keys = index.select("_template", "_class", "_len", F.explode("_minima").alias("_h"))
+    keys = F.broadcast(written(index.select("_template", "_class", "_len", F.explode("_minima").alias("_h")), "minima"))
 
-    parts = []
-    for c, n in (x for x in shapes if x[0] == CLASSES[0]):
+    # a window can only collide with a template whose minimum it holds: find such shingles first
+    hits = []
+    for n in sorted({n for _, n in shapes}):
         single = source.where(F.size("_words") >= n).select("_doc", "_words", F.explode(F.sequence(F.lit(0), F.size("_words") - n)).alias("_i"))
-        own = F.broadcast(keys.where(f"_class = {c} and _len = {n}").select("_template", "_h"))
-        parts.append(single.select("_doc", _hash_at("_words", F.col("_i"), n).alias("_h")).join(own, "_h").select("_doc", "_template"))
-    larger = [c for c, _ in shapes if c != CLASSES[0]]
-    if larger:
-        hashed = source.where(F.size("_words") >= SHINGLE).select("_doc", _hashes("_words", SHINGLE).alias("_hashes"))
-        window = lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size("_hashes") - 1) / c).cast("int")), lambda j: F.sort_array(F.slice(F.col("_hashes"), j * c + 1, F.lit(2 * c))))
-        for c in larger:
-            rows = hashed.select("_doc", F.explode(window(c)).alias("_window"))
-            rows = rows.select("_doc", F.explode(_bin_minima("_window")).alias("_h"))
-            own = F.broadcast(keys.where(f"_class = {c}").select("_template", "_h"))
-            parts.append(rows.join(own, "_h").select("_doc", "_template"))
-    if not parts:
-        parts = [source.where(F.lit(False)).select("_doc", F.lit("").alias("_template"))]
+        own = F.broadcast(keys.where(F.col("_len") == n).select("_h", "_class").distinct())
+        hits.append(single.select("_doc", "_i", _hash_at("_words", F.col("_i"), n).alias("_h")).join(own, "_h"))
+    if not hits:
+        hits = [source.select("_doc", F.lit(0).alias("_i"), F.lit(0).cast("long").alias("_h"), F.lit(0).alias("_class")).where(F.lit(False))]
+    hits = written(reduce(DataFrame.unionByName, hits), "hits")
+    parts = [hits.where(F.col("_class") == CLASSES[0]).join(keys, ["_h", "_class"]).select("_doc", "_template")]
+    # then the signature of the windows around them, and its bands
+    at = F.floor(F.col("_i") / F.col("_class")).cast("int")
+    near = hits.where(F.col("_class") != CLASSES[0]).select("_doc", "_class", F.explode(F.array(at, at - 1)).alias("_j")).where("_j >= 0").distinct()
+    held = near.groupBy("_doc").agg(F.collect_list(F.struct("_class", "_j")).alias("_windows"))
+    held = held.join(source, "_doc").select("_doc", _hashes("_words", SHINGLE).alias("_hashes"), "_windows")
+    held = held.select("_doc", "_hashes", F.explode("_windows").alias("_w")).select("_doc", F.col("_w._class").alias("_class"), F.sort_array(F.slice("_hashes", F.col("_w._j") * F.col("_w._class") + 1, 2 * F.col("_w._class"))).alias("_window"))
+    bands = held.select("_doc", "_class", F.explode(_bin_minima("_window")).alias("_h"))
+    parts.append(bands.join(keys, ["_h", "_class"]).select("_doc", "_template"))
     candidates = written(reduce(DataFrame.unionByName, parts).distinct(), "candidates")
 
     # exact: the windows of the document once more, as strings
