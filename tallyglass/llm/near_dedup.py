@@ -10,8 +10,11 @@
    b-bit groups can belong to a similarity of 0.8 (six standard errors), then when the full
    shingle sets say so exactly. Links merge classes into components; the next round takes other
    representatives and looks only at buckets that still hold several components.
-4. When a round links nothing, the remaining members are compared across components: the smaller
-   components of a bucket against all of it. So no link between different texts is lost.
+   Rounds go on as long as they link a fair share of the pairs they make.
+4. Then the members of buckets that still hold several components are compared across them: the
+   smaller components of a bucket against all of it, in blocks of BLOCK members with their texts,
+   so that only links leave a task. A pair is compared in its first common bucket. So no link
+   between different texts is lost, and pairs that aren't linked are never written out.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; one
 word is a single shingle; repeated rows of a doc_id count as one document (the first text by
@@ -37,8 +40,10 @@ PERMUTATIONS = BANDS * ROWS
 WORDS64 = PERMUTATIONS * BITS // 64 + bool(PERMUTATIONS * BITS % 64)
 #: Similarity as a fraction, compared in integers.
 NUMERATOR, DENOMINATOR = 80, 100
-#: Rounds with other representatives before all that remains is compared.
-ROUNDS = 2
+#: Rounds with other representatives go on while one pair in so many is linked, and end here.
+LEAST_YIELD, ROUNDS = 20, 8
+#: Members of a bucket that one block holds; a larger bucket is dealt over several blocks.
+BLOCK = 1024
 REMEMBERED_WORDS = 400_000
 
 _RNG = np.random.default_rng(20240229)
@@ -196,30 +201,29 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(_id, _comp) for every end of a link: _comp is the smallest id reachable.
 
-    Alternating large-star and small-star rounds; every round is written to the shared folder.
-    All groupings are partial sums first, so a hub of many links is no hot task.
+    Alternating large-star and small-star rounds until the edges are stars: every node has one
+    edge, to a node that has none. Minima are grouped in partial sums first and written, so that
+    a hub of many links is split where its edges are joined to them.
     """
+    spark = links.sparkSession
     edges = written(links.select(F.greatest("_a", "_b").alias("_u"), F.least("_a", "_b").alias("_v")).where("_u <> _v").distinct(), "edges")
-    before = None
     while True:
-        # large star: every larger neighbour of a node moves to the least of node and neighbours
+        # large star: the larger neighbours of a node move to the least of node and neighbours
         both = edges.unionByName(edges.select(F.col("_v").alias("_u"), F.col("_u").alias("_v")))
         least = written(both.groupBy("_u").agg(F.least(F.min("_v"), F.col("_u")).alias("_m")), "least")
         large = both.where("_v > _u").join(least, "_u").select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).where("_u <> _v").distinct()
         large = written(large, "edges")
         # small star: a node and its smaller neighbours move to the least of them
-        small_least = written(large.groupBy("_u").agg(F.min("_v").alias("_m")), "least")
+        small_least = written(large.groupBy("_u").agg(F.min("_v").alias("_m"), F.count("*").alias("_c")), "least")
+        single = small_least.where("_c > 1").isEmpty()
+        if single and large.join(small_least.select(F.col("_u").alias("_v")), "_v", "left_semi").isEmpty():
+            return large.select(F.col("_u").alias("_id"), F.col("_v").alias("_comp")).unionByName(large.select(F.col("_v").alias("_id"), F.col("_v").alias("_comp")).distinct())
         joined = large.join(small_least, "_u")
         small = joined.select(F.col("_v").alias("_u"), F.col("_m").alias("_v")).unionByName(small_least.select("_u", F.col("_m").alias("_v")))
         small = written(small.where("_u <> _v").distinct(), "edges")
-        sums = small.agg(F.count("*"), F.bit_xor(F.xxhash64("_u", "_v")), F.sum(F.xxhash64("_v", "_u").cast("decimal(38,0)"))).first()
         for done in (edges, least, large, small_least):
-            dropped(links.sparkSession, done)
+            dropped(spark, done)
         edges = small
-        if sums == before:
-            break
-        before = sums
-    return edges.select(F.col("_u").alias("_id"), F.col("_v").alias("_comp")).unionByName(edges.select(F.col("_v").alias("_id"), F.col("_v").alias("_comp")).distinct())
 
 
 def _labelled(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -228,15 +232,12 @@ def _labelled(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
     return nodes.join(comps, "_id", "left").withColumn("_comp", F.coalesce("_comp", "_id"))
 
 
-def _estimate_passes(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    a = sigs.select(F.col("_id").alias("_a"), F.col("_bits").alias("_ba"), F.col("_n").alias("_na"))
-    b = sigs.select(F.col("_id").alias("_b"), F.col("_bits").alias("_bb"), F.col("_n").alias("_nb"))
-    return pairs.join(b, "_b").join(a, "_a").where(_alike()).select("_a", "_b")
-
-
-def _alike() -> Column:
+def _estimate_passes(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """Pairs that can reach the similarity by their sizes and by the estimate."""
+    a = near.select(F.col("_id").alias("_a"), F.col("_bits").alias("_ba"), F.col("_n").alias("_na"))
+    b = near.select(F.col("_id").alias("_b"), F.col("_bits").alias("_bb"), F.col("_n").alias("_nb"))
     sizes = F.least("_na", "_nb") * DENOMINATOR >= F.greatest("_na", "_nb") * NUMERATOR
-    return sizes & (estimated(F.col("_ba"), F.col("_bb")) >= LEAST_ESTIMATE)
+    return pairs.join(b, "_b").join(a, "_a").where(sizes & (estimated(F.col("_ba"), F.col("_bb")) >= LEAST_ESTIMATE)).select("_a", "_b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,25 +257,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = written(keyed.join(full, "_key"), "members")
     wanted = written(members.select("_id").distinct().join(firsts, "_id"), "wanted")
     texts = written(source.join(wanted, ["_id", "_th"]).dropDuplicates(["_id"]).select("_id", "_text"), "texts")
-    near = written(sigs.join(wanted.select("_id"), "_id").select("_id", "_n", "_bits"), "near")
+    near = written(sigs.join(wanted.select("_id"), "_id").select("_id", "_n", "_bits", "_keys"), "near")
 
     links, comps = None, None
+    across = False
     for turn in range(ROUNDS + 1):
         labelled = _labelled(members, comps)
         order = F.col("_id") if turn == 0 else F.xxhash64(F.lit(turn), "_id", "_key")
-        open_ = labelled.groupBy("_key").agg(F.min(F.struct(order.alias("o"), "_id", "_comp")).alias("_rep"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"))
-        open_ = written(open_.where("_lo <> _hi").select("_key", F.col("_rep._id").alias("_a"), F.col("_rep._comp").alias("_ca")), "open")
-        if open_.isEmpty():
+        reps = labelled.groupBy("_key").agg(F.min(F.struct(order.alias("o"), "_id", "_comp")).alias("_rep"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"))
+        reps = written(reps.where("_lo <> _hi").select("_key", F.col("_rep._id").alias("_a"), F.col("_rep._comp").alias("_ca")), "reps")
+        if reps.isEmpty():
             break
-        if turn < ROUNDS:
-            pairs = labelled.join(open_, "_key").where("_comp <> _ca").select(F.col("_id").alias("_b"), "_a").distinct()
-            pairs = _estimate_passes(pairs, near)
+        if across:
+            got, made = written(_across(labelled.join(reps.select("_key"), "_key"), near, texts), "links"), 0
         else:
-            pairs = _across(labelled.join(open_.select("_key"), "_key"), near)
-        got = written(confirmed(written(pairs, "pairs"), texts), "links")
-        if got.isEmpty():
-            continue
-        links = got if links is None else links.unionByName(got)
+            pairs = labelled.join(reps, "_key").where("_comp <> _ca").select(F.col("_id").alias("_b"), "_a").distinct()
+            pairs = written(_estimate_passes(pairs, near), "pairs")
+            got, made = written(confirmed(pairs, texts), "links"), pairs.count()
+        found = got.count()
+        if found:
+            links = got if links is None else links.unionByName(got)
+        if across:
+            break
+        across = turn + 2 > ROUNDS or found * LEAST_YIELD < made
+        if found and not across:
+            comps = written(components(links), "components")
+    if links is not None:
         comps = written(components(links), "components")
 
     # back to all documents: class head, then its component
@@ -287,17 +295,77 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("_id", "_n", F.when(F.col("_n") > 0, F.coalesce("_comp", "_id")).otherwise(F.col("_id")).alias("component_id"))
 
 
-def _across(labelled: DataFrame, near: DataFrame) -> DataFrame:
-    """Candidate pairs between the components of a bucket: all but its largest against all of it."""
+def _across(labelled: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (_a, _b) between the components of a bucket, one at least for each two that are linked."""
     sizes = labelled.groupBy("_key", "_comp").agg(F.count("*").alias("_c"))
-    largest = written(sizes.groupBy("_key").agg(F.max(F.struct("_c", "_comp")).alias("_m")).select("_key", F.col("_m._comp").alias("_top")), "largest")
-    rows = written(labelled.join(near, "_id"), "rows")
-    rest = rows.join(largest, "_key").where("_comp <> _top")
-    a = rest.select("_key", F.col("_id").alias("_a"), F.col("_comp").alias("_ca"), F.col("_n").alias("_na"), F.col("_bits").alias("_ba"), "_top")
-    b = rows.select("_key", F.col("_id").alias("_b"), F.col("_comp").alias("_cb"), F.col("_n").alias("_nb"), F.col("_bits").alias("_bb"))
-    # a pair of two small components meets twice: keep it once
-    once = (F.col("_cb") == F.col("_top")) | (F.col("_ca") < F.col("_cb"))
-    return a.join(b, "_key").where((F.col("_ca") != F.col("_cb")) & once & _alike()).select("_a", "_b").distinct()
+    tops = sizes.groupBy("_key").agg(F.max(F.struct("_c", "_comp")).alias("_m"), F.sum("_c").alias("_all"))
+    tops = written(tops.select("_key", F.col("_m._comp").alias("_top"), F.ceil(F.col("_all") / BLOCK).cast("int").alias("_blocks")), "tops")
+    rows = labelled.join(tops, "_key").withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_rest", F.col("_comp") != F.col("_top"))
+    # members of the largest component go to one block, the others to all blocks of the bucket
+    rows = rows.withColumn("_block", F.explode(F.when(F.col("_rest"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("_own"))))
+    rows = written(rows.select("_key", "_block", "_id", "_comp", "_rest", (F.col("_block") == F.col("_own")).alias("_right")), "blocks")
+    rows = rows.join(near, "_id").join(texts, "_id").repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_id")
+    return rows.select("_key", "_block", "_id", "_comp", "_rest", "_right", "_n", "_bits", "_keys", "_text").mapInPandas(_block_links, "_a long, _b long").distinct()
+
+
+def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by block to the links within each block; a block may span batches."""
+    rest = None
+    for df in batches:
+        if rest is not None:
+            df = pd.concat([rest, df], ignore_index=True)
+        if not len(df):
+            continue
+        k, b = df["_key"].to_numpy(), df["_block"].to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero((np.diff(k) != 0) | (np.diff(b) != 0)) + 1]).tolist()
+        out = [x for lo, hi in zip(cut[:-1], cut[1:], strict=True) for x in _links_of(df.iloc[lo:hi])]
+        rest = df.iloc[cut[-1] :]
+        if out:
+            yield pd.DataFrame(out, columns=["_a", "_b"])
+    if rest is not None and len(rest):
+        yield pd.DataFrame(_links_of(rest), columns=["_a", "_b"])
+
+
+def _links_of(block: pd.DataFrame) -> list[tuple[int, int]]:
+    key = block["_key"].iloc[0]
+    ids, comps, n = (block[c].to_numpy(np.int64) for c in ("_id", "_comp", "_n"))
+    right = np.flatnonzero(block["_right"].to_numpy(bool))
+    left = np.flatnonzero(block["_rest"].to_numpy(bool))
+    if not len(left) or len(block) < 2:
+        return []
+    bits = np.stack(block["_bits"].to_numpy()).view(np.uint64)
+    keys = np.stack(block["_keys"].to_numpy())
+    band = int((keys[0] == key).argmax())
+    low = np.uint64(0x5555555555555555)
+    chance = 2.0**-BITS
+    texts = block["_text"].to_numpy()
+    sets: dict[int, np.ndarray] = {}
+
+    def of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(texts[i])
+        return sets[i]
+
+    out = []
+    for i in left.tolist():
+        r = right[(comps[right] != comps[i]) & (np.minimum(n[right], n[i]) * DENOMINATOR >= np.maximum(n[right], n[i]) * NUMERATOR)]
+        if band and len(r):
+            r = r[~(keys[r, :band] == keys[i, :band]).any(1)]  # an earlier common bucket has compared them
+        if len(r):
+            x = bits[r] ^ bits[i]
+            differ = np.bitwise_count((x | x >> np.uint64(1)) & low).sum(1)
+            r = r[((1 - differ / PERMUTATIONS) - chance) / (1 - chance) >= LEAST_ESTIMATE]
+        if not len(r):
+            continue
+        mine, others = of(i), [of(j) for j in r.tolist()]
+        every = np.concatenate(others)
+        at = np.minimum(np.searchsorted(mine, every), len(mine) - 1)
+        both = np.add.reduceat((mine[at] == every).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+        linked = r[DENOMINATOR * both >= NUMERATOR * (n[i] + n[r] - both)]
+        _, firsts = np.unique(comps[linked], return_index=True)  # one link to each component will do
+        out += [(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for j in linked[firsts].tolist()]
+    return out
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
