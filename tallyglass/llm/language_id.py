@@ -185,12 +185,16 @@ def in_training(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, settings: Settings = Settings(), keep: Column | None = None) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled rows: the rows with the lowest hashes, a hashed piece of each."""
+    """A bounded sample of labelled rows, picked by their hashes, a hashed piece of each."""
     n = F.length("text")
     at = F.pmod(F.xxhash64("doc_id", F.lit(settings.seed)), F.greatest(n - settings.piece_chars, F.lit(0)) + 1).cast("int") + 1
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if keep is None else keep))
     rows = rows.select(F.substring("text", at, F.lit(settings.piece_chars)).alias("piece"), "lang", F.xxhash64("doc_id", "text").alias("by"))
-    got = rows.orderBy("by", "piece", "lang").limit(settings.sample_rows).collect()
+    # a hash filter first, so that partitions send no more than the sample between them
+    total = docs.where(F.col("lang").isNotNull()).count()
+    share = min(1.0, 3.0 * settings.sample_rows / max(total, 1) + 1e-4)
+    likely = rows.where(F.pmod("by", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    got = likely.orderBy("by", "piece", "lang").limit(settings.sample_rows).collect()
     return [r.piece for r in got], [r.lang for r in got]
 
 
