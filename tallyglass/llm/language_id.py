@@ -35,13 +35,15 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Settings:
     """``sample_rows`` bounds the labelled rows that are fitted, ``piece_chars`` the text of each:
-    a piece at a hashed place of the text. Both bound the driver's memory at any corpus size."""
+    a piece at a hashed place of the text. Both bound the driver's memory at any corpus size.
+    A small sample is gone through more often, until ``least_steps`` steps are made."""
 
     sample_rows: int = 6000
     piece_chars: int = 400
     buckets: int = 1 << 16
     dim: int = 16
     epochs: int = 4
+    least_steps: int = 400
     batch: int = 64
     rate: float = 0.5
     held_back: float = 0.25
@@ -145,8 +147,10 @@ def fit(texts: list[str], langs: list[str], settings: Settings = Settings()) ->
     emb = rng.normal(0, 0.1, (settings.buckets, settings.dim)).astype(np.float32)
     w = rng.normal(0, 0.1, (settings.dim, len(names))).astype(np.float32)
     b = np.zeros(len(names), np.float32)
-    steps, done = settings.epochs * -(-len(train) // settings.batch), 0
-    for _ in range(settings.epochs):
+    each = max(1, -(-len(train) // settings.batch))
+    epochs = max(settings.epochs, -(-settings.least_steps // each))
+    steps, done = epochs * each, 0
+    for _ in range(epochs):
         train = rng.permutation(train)
         for lo in range(0, len(train), settings.batch):
             at = train[lo : lo + settings.batch]

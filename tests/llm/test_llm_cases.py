@@ -155,7 +155,7 @@ def test_pseudonyms(spark):
 def test_token_allocation(spark):
     import public_tokenizers as P
 
-    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         vocabulary = f.read()
     rng = random.Random(4)
     for _ in range(200):
