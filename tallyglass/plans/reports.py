@@ -190,18 +190,28 @@ def area_rows(goals: DataFrame, actions: DataFrame, metrics: DataFrame) -> DataF
     return reduce(DataFrame.unionByName, [g, a, m])
 
 
-def _area_sums() -> list[Column]:
+_PROFILES = tuple(p[0] for p in (*config.PROCUREMENT, config.OTHER_PROCUREMENT))
+_MONEY = ("action_dollars", "externalizable_dollars")
+
+
+def _district_sums(rows: DataFrame) -> DataFrame:
+    """The one pass over the classified rows: per district and area all counts and exact dollars."""
     moved = lambda k: F.sum(F.size(F.filter("movements", lambda x: x == k))).alias(f"movement_{k}")
     paced = lambda names, out: F.sum(F.when(F.col("pace_status").isin(*names), 1).otherwise(0)).alias(out)
-    money = lambda c: F.sum(c.cast("decimal(24,4)")).cast("double")
-    return [
+    exact = lambda c: F.sum(c.cast("decimal(24,4)"))
+    return rows.groupBy("district_name", "area_key").agg(
         *_kinds(),
-        F.round(money(F.col("dollars")), 2).alias("action_dollars"),
-        F.round(money(F.col("dollars") * F.col("vendor_fit")), 2).alias("externalizable_dollars"),
+        exact(F.col("dollars")).alias("action_dollars"),
+        exact(F.col("dollars") * F.col("vendor_fit")).alias("externalizable_dollars"),
         *[moved(k) for k in MOVEMENTS],
         paced(STATUSES[:2], "pace_positive"),
         paced(STATUSES[2:], "pace_negative"),
-    ]
+        *[F.sum(F.when(F.col("profile") == p, 1).otherwise(0)).alias(f"_{p}") for p in _PROFILES],
+    )
+
+
+def _rounded_money(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 2) for c in _MONEY})
 
 
 def _with_shares(df: DataFrame) -> DataFrame:
@@ -219,7 +229,7 @@ def _with_shares(df: DataFrame) -> DataFrame:
 def district_areas(rows: DataFrame, examples: int = 3) -> DataFrame:
     """Per district and area: counts, dollars, movement, pace, and the best examples."""
     by = ["district_name", "area_key"]
-    out = _with_shares(rows.groupBy(*by).agg(*_area_sums()))
+    out = _with_shares(_rounded_money(_district_sums(rows))).drop(*[f"_{p}" for p in _PROFILES])
     actions = rows.where("kind = 'action'")
     order = Window.partitionBy(*by).orderBy(F.col("title_score").desc(), F.col("match_score").desc(), (F.col("dollars") * F.col("vendor_fit")).desc(), "number", "name")
     best = actions.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= examples).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_r", "name", "dollars"))).alias("_a"))
@@ -236,19 +246,20 @@ def district_areas(rows: DataFrame, examples: int = 3) -> DataFrame:
     return out.select(*kept, classify.area_label("area_key").alias("area_label"), F.round("_ms", 4).alias("movement_negative_share"), F.round("_ps", 4).alias("pace_negative_share"), *named(0), *named(1), text("metric_example_1"), text("metric_example_1_status"), text("metric_example_1_diff"))
 
 
-def area_rollup(rows: DataFrame, district_count: int | Column, by_district: DataFrame | None = None) -> DataFrame:
+def area_rollup(rows: DataFrame, district_count: int | Column) -> DataFrame:
     """Per area: prevalence, dollars, pressure, the usual procurement profile and a composite score.
 
     score = .30 prevalence + .30 log10(external dollars + 1) / log10(highest + 1)
           + .25 the larger negative share + .15 the share of districts under pressure
     """
-    per = district_areas(rows) if by_district is None else by_district
-    pressed = per.where((F.col("movement_negative_share") >= 0.25) | (F.col("pace_negative_share") >= 0.25)).groupBy("area_key").agg(F.count("*").alias("districts_with_negative_pressure"))
-    profiles = rows.where("profile is not null").groupBy("area_key", "profile").agg(F.count("*").alias("_n"))
-    order = F.array(*[F.lit(p[0]) for p in config.PROCUREMENT])
-    usual = profiles.groupBy("area_key").agg(F.max(F.struct("_n", (-F.array_position(order, F.col("profile"))).alias("p"), "profile")).alias("_u")).select("area_key", F.col("_u.profile").alias("top_procurement_profile"))
-    out = _with_shares(rows.groupBy("area_key").agg(F.countDistinct("district_name").alias("districts_with_area"), *_area_sums()))
-    out = out.join(pressed, "area_key", "left").join(usual, "area_key", "left").fillna(0, ["districts_with_negative_pressure"]).fillna("", ["top_procurement_profile"])
+    per = _with_shares(_district_sums(rows))
+    pressed = (F.round("_ms", 4) >= 0.25) | (F.round("_ps", 4) >= 0.25)
+    summed = [c for c in per.columns if c not in ("district_name", "area_key", "_ms", "_ps", "movement_points", "pace_metrics")]
+    out = per.groupBy("area_key").agg(F.count("*").alias("districts_with_area"), F.sum(F.when(pressed, 1).otherwise(0)).alias("districts_with_negative_pressure"), *[F.sum(c).alias(c) for c in summed])
+    out = _with_shares(_rounded_money(out))
+    # the most frequent profile; on ties the one that stands first in the order of classes
+    usual = F.array_max(F.array(*[F.struct(F.col(f"_{p}").alias("n"), F.lit(-k).alias("k"), F.lit(p).alias("p")) for k, p in enumerate(_PROFILES)]))
+    out = out.withColumn("top_procurement_profile", F.when(usual["n"] > 0, usual["p"]).otherwise(""))
     most = F.max("externalizable_dollars").over(Window.partitionBy())  # areas are a dozen rows
     count = F.lit(district_count) if isinstance(district_count, int) else district_count
     prevalence = F.when(count > 0, F.col("districts_with_area") / count).otherwise(0.0)
