@@ -69,7 +69,7 @@ def _opportunities(name: str, trend: str, rank: str, limit: int = 25, extra: str
         tables = _tables(spark, d)
         del tables["metrics"]
         rows = opportunities.find_opportunities(tables, TOPIC, trend, rank, limit=limit, **options)
-        return _rounded(rows, ("current_status", "outcome_change", "strict_share_pct")).drop("indicator_name", "student_group")
+        return rows.drop("indicator_name", "student_group")
 
     query(name, sql.opportunities(_TRENDS[trend], _ORDERS[rank], TOPIC.terms, TOPIC.strict, TOPIC.indicator, limit, extra))(run)
 
@@ -142,7 +142,7 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("declining_candidates", sql.candidates(TERMS, "error"))
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(reports.declining_candidates(_tables(spark, d, True), TERMS, "error"), ("rate", "rate_change", "actionable_share_pct"))
+    return reports.declining_candidates(_tables(spark, d, True), TERMS, "error")
 
 
 @query("declining_evidence", sql.evidence(TERMS, 3))
@@ -152,7 +152,7 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("grouped_outcomes", sql.grouped(TERMS))
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(reports.grouped_outcomes(_tables(spark, d, True), TERMS), ("status",))
+    return reports.grouped_outcomes(_tables(spark, d, True), TERMS)
 
 
 @query("declining_cohort", f"{sql.WITH} select distinct cds_code from ind where indicator_name = 'error' and change < 0")
@@ -188,14 +188,14 @@ def _fallback(spark: SparkSession, d: str) -> DataFrame:
     return directory.profiles_or_districts(none, fx.districts(spark, d).where("county = 'NATION_5'")).select("cds_code", "county", "district")
 
 
-@query("documents_lookup", f"{sql.WITH} select cds_code, district, district_name_match, rank from (select *, row_number() over (order by case when cds_code % 3 = 0 then 0 else 1 end, case when cds_code % 4 = 0 then null else 2020 + cds_code % 4 end desc nulls last, district) rank from docs where {sql.VALID} and lower(district) like '%1%') where rank <= 25")
+@query("documents_lookup", f"{sql.WITH} select cds_code, district, district_name_match, rank from (select *, cast(row_number() over (order by case when cds_code % 3 = 0 then 0 else 1 end, case when cds_code % 4 = 0 then null else 2020 + cds_code % 4 end desc nulls last, district) as int) rank from docs where {sql.VALID} and lower(district) like '%1%') where rank <= 25")
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     docs = fx.documents(spark, d).withColumns({"pdf_url": F.when(F.col("cds_code") % 3 == 0, "u"), "school_year": F.when(F.col("cds_code") % 4 != 0, 2020 + F.col("cds_code") % 4)})
     rows = directory.plan_documents(docs, district="*1*", limit=25)
     return retrieval.ranked(rows, "rank", *directory.document_order()).select("cds_code", "district", "district_name_match", "rank")
 
 
-@query("missing_detail_3vl", f"with p as (select *, case when district is not null then 'detail' else 'other' end source from ({_PROFILES})), d as (select distinct s_nationkey + 1 cds_code from supplier) select distinct d.cds_code from d left join p using (cds_code) where not (p.source = 'detail' and p.parse_status = 'ok')")
+@query("missing_detail_3vl", f"with p as (select *, case when district is not null then 'detail' else 'other' end source from ({_PROFILES})), d as (select distinct cast(s_nationkey + 1 as bigint) cds_code from supplier) select distinct d.cds_code from d left join p using (cds_code) where not (p.source = 'detail' and p.parse_status = 'ok')")
 def _missing(spark: SparkSession, d: str) -> DataFrame:
     p = fx.profiles(spark, d).withColumn("source", F.when(F.col("district").isNotNull(), upsert.DETAIL_SOURCE).otherwise("other"))
     codes = fx.table(spark, d, "supplier").select((F.col("s_nationkey") + 1).cast("long").alias("cds_code")).distinct()
@@ -228,10 +228,10 @@ def _buckets() -> list[tuple[str, int]]:
     return [("four_years_ago", 0), ("three_years_ago", 6), ("two_years_ago", 12), ("one_year_ago", 18), ("current_year", 24)]
 
 
-@query("trends_wide", "select user_id cds_code, event_type indicator_name, " + ", ".join(f"round(avg(case when date_part('day', ts) - 1 >= {lo} and date_part('day', ts) - 1 < {lo + 6 if lo < 24 else 99} then value end), 4) {n}" for n, lo in _buckets()) + " from events group by 1, 2")
+@query("trends_wide", "select user_id cds_code, event_type indicator_name, " + ", ".join(sql.mean(f"case when date_part('day', ts) - 1 >= {lo} and date_part('day', ts) - 1 < {lo + 6 if lo < 24 else 99} then value end") + f" {n}" for n, lo in _buckets()) + " from events group by 1, 2")
 def _trends(spark: SparkSession, d: str) -> DataFrame:
     day = F.dayofmonth("ts") - 1
-    means = [F.round(F.avg(F.when((day >= lo) & (day < (lo + 6 if lo < 24 else 99)), F.col("value"))), 4).alias(n) for n, lo in _buckets()]
+    means = [fx.exact_mean(F.when((day >= lo) & (day < (lo + 6 if lo < 24 else 99)), F.col("value"))).alias(n) for n, lo in _buckets()]
     return fx.table(spark, d, "events").groupBy(F.col("user_id").alias("cds_code"), F.col("event_type").alias("indicator_name")).agg(*means)
 
 
@@ -313,7 +313,7 @@ def _dedupe(spark: SparkSession, d: str) -> DataFrame:
     return dedup.keep_first(rows, ["text_hash"], ["doc_id"])
 
 
-@query("stratified_sample", "select doc_id, sample_rank from (select doc_id, row_number() over (partition by lang, source order by doc_id) sample_rank from documents) where sample_rank <= 3")
+@query("stratified_sample", "select doc_id, sample_rank from (select doc_id, cast(row_number() over (partition by lang, source order by doc_id) as int) sample_rank from documents) where sample_rank <= 3")
 def _sample(spark: SparkSession, d: str) -> DataFrame:
     return quality.review_sample(fx.chunks(spark, d), 3).select(F.col("chunk_id").alias("doc_id"), "sample_rank")
 
@@ -357,7 +357,7 @@ _LISTS = f"b as ({sql.bm25(('onre', 'thand'), 80)}), v as ({sql.dense(7, 80)})"
 @query("hybrid_rrf", f"with {_LISTS} select chunk_id, bm25_rank, dense_rank, round(coalesce(1.0e0 / (60 + bm25_rank), 0) + coalesce(1.0e0 / (60 + dense_rank), 0), 8) rrf_score from b full join v using (chunk_id)")
 def _rrf(spark: SparkSession, d: str) -> DataFrame:
     rows = retrieval.rrf_joined(retrieval.bm25(fx.chunks(spark, d), SEARCH, 80), retrieval.dense(_embeddings(spark, d), _vector(spark, d, 7), 80))
-    return rows.select("chunk_id", F.col("bm25_rank").cast("long").alias("bm25_rank"), F.col("dense_rank").cast("long").alias("dense_rank"), F.round("rrf_score", 8).alias("rrf_score"))
+    return rows.select("chunk_id", "bm25_rank", "dense_rank", F.round("rrf_score", 8).alias("rrf_score"))
 
 
 @query("weighted_rrf", f"with {_LISTS}, u as (select chunk_id, 0.58e0 / (60 + dense_rank) s from v union all select chunk_id, 0.42e0 / (60 + bm25_rank) from b) select chunk_id, round(sum(s), 8) rrf_score from u group by 1")

@@ -7,7 +7,7 @@ keys; column pruning and filters reach the Parquet scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPLIT = "2024-01-16 00:00:00"
@@ -69,13 +69,18 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of amounts in cents: summed as decimals, so it doesn't depend on the order of rows."""
+    return F.try_divide(F.sum(value.cast("decimal(18,2)")).cast("double"), F.count(value))
+
+
 def indicators(spark: SparkSession, d: str) -> DataFrame:
     """Outcomes: per account and event type the mean, and its change between two halves."""
     late = F.col("ts") >= F.expr(f"timestamp_ntz'{SPLIT}'")
     e = table(spark, d, "events")
     return e.groupBy(F.col("user_id").alias("cds_code"), F.col("event_type").alias("indicator_name")).agg(
-        F.avg("value").alias("status"),
-        (F.avg(F.when(late, F.col("value"))) - F.avg(F.when(~late, F.col("value")))).alias("change"),
+        exact_mean(F.col("value")).alias("status"),
+        (exact_mean(F.when(late, F.col("value"))) - exact_mean(F.when(~late, F.col("value")))).alias("change"),
         F.count("*").alias("count"),
         F.sum(F.when(F.col("value") >= 10, 1).otherwise(0)).alias("chronic_count"),
     ).withColumn("student_group", F.lit("ALL"))

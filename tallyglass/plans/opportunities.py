@@ -64,10 +64,18 @@ def matching_metrics(metrics: DataFrame, of: Topic) -> DataFrame:
     return metrics.where(contains_any(joined_text(*METRIC_TEXTS), of.terms))
 
 
-def spend(actions: DataFrame, prefix: str) -> DataFrame:
-    """Per account the distinct actions and the rounded sum of funds (summed exactly)."""
-    funds = F.sum(F.coalesce(F.col("total_funds"), F.lit(0)).cast("decimal(18,2)"))
-    return actions.groupBy("cds_code").agg(F.countDistinct("action_id").alias(f"{prefix}_action_count"), F.round(funds, 0).cast("double").alias(f"{prefix}_action_funds"))
+def topic_spend(actions: DataFrame, documents: DataFrame, of: Topic) -> DataFrame:
+    """Broad and strict spend per account in one pass over the actions."""
+    broad = contains_any(joined_text("title", "description"), of.terms)
+    strict = contains_any(F.coalesce("title", F.lit("")), of.strict)
+    hits = actions.withColumns({"_broad": broad, "_strict": strict}).where("_broad or _strict")
+    hits = hits.join(valid_documents(documents).select("cds_code"), "cds_code", "left_semi")
+    funds = F.coalesce(F.col("total_funds"), F.lit(0)).cast("decimal(18,2)")
+    out = []
+    for name in ("broad", "strict"):
+        own = F.col(f"_{name}")
+        out += [F.countDistinct(F.when(own, F.col("action_id"))).alias(f"{name}_action_count"), F.round(F.sum(F.when(own, funds)), 0).cast("double").alias(f"{name}_action_funds")]
+    return hits.groupBy("cds_code").agg(*out)
 
 
 def find_opportunities(
@@ -95,8 +103,7 @@ def find_opportunities(
     if district:
         accounts = accounts.where(like_pattern("district", district))
     counted = [
-        spend(matching_actions(tables["actions"], tables["documents"], of, "broad"), "broad"),
-        spend(matching_actions(tables["actions"], tables["documents"], of, "strict"), "strict"),
+        topic_spend(tables["actions"], tables["documents"], of),
         matching_goals(tables["goals"], of).groupBy("cds_code").agg(F.countDistinct("goal_id").alias("topic_goal_count")),
     ]
     if "metrics" in tables:

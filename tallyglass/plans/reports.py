@@ -30,31 +30,35 @@ def report_hits(terms: tuple[str, ...], strict: bool) -> Column:
     return contains_any(text, terms)
 
 
-def declining_spend(tables: dict[str, DataFrame], which: DataFrame, terms: tuple[str, ...], strict: bool) -> DataFrame:
-    name = "strict" if strict else "broad"
-    hits = tables["actions"].where(report_hits(terms, strict)).join(which.select("cds_code"), "cds_code")
-    hits = hits.join(valid_documents(tables["documents"]).select("cds_code"), "cds_code")
-    funds = F.sum(F.coalesce(F.col("total_funds"), F.lit(0)).cast("decimal(18,2)"))
-    return hits.groupBy("cds_code").agg(funds.alias(f"{name}_funds"), F.count("action_id").alias(f"{name}_actions"))
+def declining_spend(tables: dict[str, DataFrame], which: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """Broad and strict funds and actions of the given accounts in one pass over the actions.
+
+    An account without a hit of a kind has null for it. A null broad text can still be a strict hit.
+    """
+    hits = tables["actions"].withColumns({"_broad": report_hits(terms, False), "_strict": report_hits(terms, True)}).where("_broad or _strict")
+    hits = hits.join(which.select("cds_code"), "cds_code").join(valid_documents(tables["documents"]).select("cds_code"), "cds_code")
+    funds = F.coalesce(F.col("total_funds"), F.lit(0)).cast("decimal(18,2)")
+    out = []
+    for name in ("broad", "strict"):
+        own = F.col(f"_{name}")
+        out += [F.sum(F.when(own, funds)).alias(f"{name}_funds"), F.nullif(F.count(F.when(own, F.col("action_id"))), F.lit(0)).alias(f"{name}_actions")]
+    return hits.groupBy("cds_code").agg(*out)
 
 
 def declining_summary(tables: dict[str, DataFrame], terms: tuple[str, ...] = config.REPORT_TERMS, indicator: str = "chronic_absenteeism") -> DataFrame:
     """One row: accounts that decline, those with broad and strict spend, funds, excluded documents."""
     which = declining(tables["indicators"], indicator)
-    one = lambda df, *cols: df.agg(*cols)
-    parts = [one(which, F.count("*").alias("declining_count"))]
-    for strict, name in ((False, "broad"), (True, "strict")):
-        own = declining_spend(tables, which, terms, strict)
-        parts.append(one(own, F.count("*").alias(f"{name}_count"), F.round(F.sum(f"{name}_funds"), 0).cast("double").alias(f"{name}_funds")))
-    parts.append(one(tables["documents"].where("district_name_match = 0"), F.count("*").alias("excluded_mismatch_count")))
+    money = lambda k: F.round(F.sum(f"{k}_funds"), 0).cast("double").alias(f"{k}_funds")
+    spent = declining_spend(tables, which, terms).agg(*[x for k in ("broad", "strict") for x in (F.count(f"{k}_funds").alias(f"{k}_count"), money(k))])
+    parts = [which.agg(F.count("*").alias("declining_count")), spent]
+    parts.append(tables["documents"].where("district_name_match = 0").agg(F.count("*").alias("excluded_mismatch_count")))
     return reduce(lambda a, b: a.join(b, F.lit(True)), parts)  # rows of one row each
 
 
 def declining_candidates(tables: dict[str, DataFrame], terms: tuple[str, ...] = config.REPORT_TERMS, indicator: str = "chronic_absenteeism") -> DataFrame:
     which = declining(tables["indicators"], indicator)
     rows = which.join(tables["districts"].select("cds_code", "county", "district"), "cds_code")
-    for strict in (False, True):
-        rows = rows.join(declining_spend(tables, which, terms, strict), "cds_code", "left")
+    rows = rows.join(declining_spend(tables, which, terms), "cds_code", "left")
     money = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     return rows.select(
         "cds_code",
