@@ -366,7 +366,7 @@ def _weighted(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(retrieval.rrf(lists, weights=[0.58, 0.42]), ("rrf_score",), 8)
 
 
-@query("rrf_group_cap", f"""with {_LISTS}, u as (select chunk_id, 0.58e0 / (60 + dense_rank) s from v union all select chunk_id, 0.42e0 / (60 + bm25_rank) from b), r as (select chunk_id, sum(s) s from u group by 1),
+@query("rrf_group_cap", f"""with b as ({sql.bm25(('onre', 'thand'), 80)}), v as ({sql.dense(7, 80, 'vec_id in (select doc_id from documents)')}), u as (select chunk_id, 0.58e0 / (60 + dense_rank) s from v union all select chunk_id, 0.42e0 / (60 + bm25_rank) from b), r as (select chunk_id, sum(s) s from u group by 1),
   j as (select chunk_id, lang district, s, row_number() over (partition by lang order by s desc, chunk_id) group_rank from r join documents on doc_id = chunk_id) select chunk_id, district, round(s, 8) rrf_score, group_rank from j where group_rank <= 2""")
 def _capped(spark: SparkSession, d: str) -> DataFrame:
     rows = retrieval.search_by_district(fx.chunks(spark, d), _embeddings(spark, d), _vector(spark, d, 7), SEARCH, limit=50, candidates=80, keyword=True)

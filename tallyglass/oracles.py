@@ -107,7 +107,7 @@ def bm25(terms: tuple[str, ...], limit: int, where: str = "true", cohort: str =
     select chunk_id, bm25_score, bm25_rank from b where bm25_rank <= {limit}"""
 
 
-def dense(query: int, limit: int) -> str:
+def dense(query: int, limit: int, where: str = "true") -> str:
     q = f"(select [x::double for x in embedding] from embeddings where vec_id = {query})"
-    return f"""with q as (select {q} v), r as (select vec_id chunk_id, 1 - list_cosine_similarity([x::double for x in embedding], v) d from embeddings, q),
+    return f"""with q as (select {q} v), r as (select vec_id chunk_id, 1 - list_cosine_similarity([x::double for x in embedding], v) d from embeddings, q where {where}),
     b as (select chunk_id, d dense_distance, cast(row_number() over (order by d, chunk_id) as int) dense_rank from r) select * from b where dense_rank <= {limit}"""
