@@ -259,3 +259,19 @@ def ocr_score(text: Column | str) -> Column:
         return reduce(lambda a, b: a + b, terms) + F.regexp_count(t, F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]{4,}")) / 40
 
     return let(F.lower(compact(text)), scored)
+
+
+def embedding_text(longest: int = 24_000) -> Column:
+    """What is embedded of a chunk: breadcrumb parts that aren't blank, then the text, cut to a length."""
+    part = lambda name, c: F.when(filled(c).isNotNull(), F.concat(F.lit(f"{name}: "), F.col(c)))
+    head = F.concat_ws("\n", part("District", "district"), part("County", "county"), part("Section", "section_path"), part("Goal", "goal_number"), part("Action", "action_number"))
+    body = F.coalesce(filled("body_text"), filled("search_text"), F.lit(""))
+    return F.left(F.concat_ws("\n\n", F.nullif(head, F.lit("")), body), F.lit(longest))
+
+
+def exported(chunks: DataFrame) -> DataFrame:
+    """Chunks with a text, with source_document_id (the file's name) and district_doc_id (code and name)."""
+    some = filled("search_text").isNotNull() | filled("body_text").isNotNull()
+    name = F.element_at(F.split(F.coalesce("source_path", F.lit("")), "/"), -1)
+    rows = chunks.where(some & (F.trim("chunk_id") != "")).withColumn("source_document_id", name)
+    return rows.withColumn("district_doc_id", F.concat_ws(":", "cds_code", "source_document_id"))
