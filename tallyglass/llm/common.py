@@ -10,9 +10,11 @@ Conventions of every operator in this subpackage
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,21 @@ _SHIPPED: set[str] = set()
 ARROW_ROWS = 256
 
 
+_CLEAR: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, clear: Callable[[], None]) -> None:
+    """Tell how to empty a cache that an operator keeps in Python workers."""
+    _CLEAR[name] = clear
+
+
+def remember_only(name: str) -> None:
+    """Empty the caches of all other operators: a worker serves one after another."""
+    for other, clear in _CLEAR.items():
+        if other != name:
+            clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table as DataFrame, through Spark's own reader (any file system)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,11 +58,16 @@ def small_batches(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).parents[2]
-        to = Path(tempfile.mkdtemp(prefix="package-"), "tallyglass.zip")
-        with zipfile.ZipFile(to, "w") as z:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
             for f in sorted((root / "tallyglass").rglob("*.py")):
                 z.write(f, f.relative_to(root))
-        context.addPyFile(str(to))  # the driver serves it to every executor, also to new ones
+        name = f"{shared_dir(spark)}/tallyglass-{uuid.uuid4().hex}.zip"
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+        out.write(held.getvalue())
+        out.close()
+        context.addPyFile(name)
         _SHIPPED.add(context.applicationId)
 
 

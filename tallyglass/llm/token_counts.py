@@ -11,8 +11,8 @@ A token that more than one section touches counts as crossing in the section it
 the counts of sections that cover a document add up to the document's count, which counting
 sections by themselves doesn't give.
 
-Pre-tokens are encoded by the ``tokenizers`` library, each distinct one once per worker; their
-relative offsets are remembered and laid out along the document.
+Pre-tokens are encoded each once per worker; the offsets of their tokens, from the tokens' bytes,
+are remembered and laid out along the document.
 
 Defined results: null and empty texts have no tokens, sections and rows; empty sections and
 sections outside of the text get 0 tokens; several tokens that share one character (bytes of one
@@ -21,7 +21,10 @@ code point) each cover that character; repeated rows come back each; extra colum
 
 from __future__ import annotations
 
+import base64
+import itertools
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,29 +32,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import small_batches, table
+from tallyglass.llm.common import remember_only, remembers, small_batches, table
 
-VOCABULARY = "byte_bpe_50k.json"
-CACHE = 200_000
+VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Distinct pre-tokens a worker remembers before it starts anew.
+CACHE = 400_000
 MAX_MODEL_BYTES = 64 << 20
 
 _SECTIONS = "array<struct<section:int,start:int,end:int,n_tokens:bigint,n_crossing:bigint>>"
 
 
 class _Offsets(dict):
-    """Pre-token -> (token starts, token ends) relative to it, packed as unsigned 32-bit integers."""
+    """Pre-token -> (start, end) of each token relative to it, packed as unsigned 32-bit integers."""
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: bytes, pattern: str):
         import regex
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.sizes = {i: len(t) for t, i in ranks.items()}
         self.find = regex.compile(pattern).findall
 
-    def __missing__(self, piece: str) -> tuple[bytes, bytes]:
-        spans = np.array(self.tokenizer.encode(piece, add_special_tokens=False).offsets, np.uint32).reshape(-1, 2)
-        out = spans[:, 0].tobytes(), spans[:, 1].tobytes()
+    def __missing__(self, piece: str) -> bytes:
+        ends = list(itertools.accumulate(map(self.sizes.__getitem__, self.encode(piece))))
+        starts = [0, *ends[:-1]]
+        if not piece.isascii():  # bytes to characters: a token covers every character that it has a byte of
+            at = list(itertools.chain.from_iterable(itertools.repeat(k, len(c.encode())) for k, c in enumerate(piece)))
+            starts, ends = [at[x] for x in starts], [at[x - 1] + 1 for x in ends]
+        out = struct.pack(f"<{2 * len(ends)}I", *itertools.chain.from_iterable(zip(starts, ends, strict=True)))
         if len(self) >= CACHE:
             self.clear()
         if len(piece) <= 64:
@@ -63,10 +72,10 @@ class _Offsets(dict):
         pieces = self.find(text)
         found = list(map(self.__getitem__, pieces))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        counts = np.fromiter((len(x[0]) for x in found), np.int64, len(pieces)) // 4
+        counts = np.fromiter(map(len, found), np.int64, len(pieces)) >> 3
         base = np.repeat(np.cumsum(sizes) - sizes, counts)
-        starts = np.frombuffer(b"".join([x[0] for x in found]), np.uint32).astype(np.int64) + base
-        return starts, np.frombuffer(b"".join([x[1] for x in found]), np.uint32).astype(np.int64) + base
+        both = np.frombuffer(b"".join(found), np.uint32).reshape(-1, 2)
+        return both[:, 0] + base, both[:, 1] + base
 
 
 def allocated(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,11 +122,13 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray]:
 SECTIONERS = {"lines": lines, "sentences": sentences}
 
 _KNOWN: dict[tuple[int, str], _Offsets] = {}
+remembers("token_counts", _KNOWN.clear)
 
 
-def counted(docs: DataFrame, vocabulary: str, pattern: str, sections: str | DataFrame = "lines", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def counted(docs: DataFrame, vocabulary: bytes, pattern: str, sections: str | DataFrame = "lines", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and section: _doc, section, start, end, n_tokens, n_crossing, n_doc_tokens.
 
+    ``vocabulary``: the contents of a rank file (base64 token and rank on each line).
     ``sections``: the name of a sectioner, or a DataFrame (doc id under the same name, section
     int, start int, end int) of character intervals, also overlapping ones.
     """
@@ -135,6 +146,7 @@ def counted(docs: DataFrame, vocabulary: str, pattern: str, sections: str | Data
     name = None if given else sections
 
     def worker() -> _Offsets:
+        remember_only("token_counts")
         key = (hash(shared.value), pattern)
         if key not in _KNOWN:
             _KNOWN.clear()
@@ -154,6 +166,7 @@ def counted(docs: DataFrame, vocabulary: str, pattern: str, sections: str | Data
     def attributed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         known = worker()
         for batch in batches:
+            batch = batch if isinstance(batch, tuple) else (batch,)
             cuts = zip(*batch[1:], strict=True) if len(batch) > 1 else [None] * len(batch[0])
             out = [one(known, t, c) for t, c in zip(batch[0], cuts, strict=True)]
             as_dicts = [[dict(zip(("section", "start", "end", "n_tokens", "n_crossing"), x, strict=True)) for x in s] for s, _ in out]
@@ -168,6 +181,6 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document."""
     import public_tokenizers
 
-    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as f:
+    with open(public_tokenizers.path(VOCABULARY), "rb") as f:
         vocabulary = f.read()
     return counted(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN).withColumnRenamed("_doc", "doc_id")
