@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import small_batches, table
+from tallyglass.llm.common import remember_only, remembers, small_batches, table
 
 #: Rank file and pattern of the production query.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -113,9 +113,11 @@ class _Cache(dict):
 
 
 _CACHES: dict[tuple[str, str], _Cache] = {}
+remembers("byte_bpe", _CACHES.clear)
 
 
 def _cache(model: bytes, pattern: str) -> _Cache:
+    remember_only("byte_bpe")
     key = (hashlib.sha256(model).hexdigest(), pattern)
     if key not in _CACHES:
         _CACHES.clear()

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import small_batches, table
+from tallyglass.llm.common import remember_only, small_batches, table
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
@@ -48,7 +48,7 @@ class Settings:
     rate: float = 0.5
     held_back: float = 0.25
     rejected_share: float = 0.0005
-    remembered_words: int = 150_000
+    remembered_words: int = 100_000
     seed: int = 7
 
 
@@ -77,7 +77,7 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
-    remembered_words: int = 150_000
+    remembered_words: int = 100_000
 
     def __post_init__(self) -> None:
         self._at: dict[str, int] = {}
@@ -209,6 +209,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def predict_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        remember_only("language_id")
         own = shared.value
         for texts in batches:
             yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
