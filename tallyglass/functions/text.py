@@ -219,6 +219,17 @@ def school_year(c: Column | str) -> Column:
     return F.regexp_extract(_col(c), r"\b(20\d{2}-\d{2}|20\d{2}-20\d{2})\b", 1)
 
 
+def composed(separator: str, *cs: Column | str) -> Column:
+    """The parts that aren't blank, with the separator between: addresses, names, phone and extension."""
+    return F.concat_ws(separator, *[filled(c) for c in cs])
+
+
+def sanitised(values: Column | str, most: int = 25, longest: int = 500) -> Column:
+    """The first values of an array of texts, each cut to a length; nulls go."""
+    kept = F.filter(_col(values), lambda x: x.isNotNull())
+    return F.transform(F.slice(kept, 1, most), lambda x: F.left(x.cast("string"), F.lit(longest)))
+
+
 def valid_email(c: Column | str) -> Column:
     out = normal_email(c)
     return (F.length(out) <= 254) & out.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$")

@@ -361,6 +361,17 @@ def tactic_rollup(explicit: DataFrame, examples: int = 3) -> DataFrame:
     return by.join(shown, "tactic").orderBy("tactic")
 
 
+def pressured(attendance: DataFrame, funded: bool = False) -> DataFrame:
+    """Districts under pressure that have explicit actions, on request with dollars only."""
+    rows = attendance.where((F.col("explicit_action_count") > 0) & F.col("negative_pressure"))
+    return rows.where(F.col("explicit_action_dollars") > 0) if funded else rows
+
+
+def unfunded(explicit: DataFrame) -> DataFrame:
+    """Explicit actions without dollars."""
+    return explicit.where(F.col("dollars") == 0)
+
+
 def inflation(attendance: DataFrame, n: int) -> DataFrame:
     """The districts where broad dollars exceed explicit ones the most."""
     return attendance.withColumn("gap", F.col("broad_action_dollars") - F.col("explicit_action_dollars")).orderBy(F.col("gap").desc(), "district_name").limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterable
 
@@ -17,6 +18,16 @@ RRF_K = 60
 FILTER_FIELDS = ("county", "district", "cds_code", "school_year", "section_type", "chunk_kind", "goal_number")
 
 
+def parsed_filters(given: dict[str, object] | str | None) -> dict[str, object]:
+    """Filters given as a dict, as JSON text of one, or not at all."""
+    if not given:
+        return {}
+    found = json.loads(given) if isinstance(given, str) else given
+    if not isinstance(found, dict):
+        raise ValueError("filters must be an object")
+    return found
+
+
 def filters(values: dict[str, object], skip_patterns: bool = False) -> list[Column]:
     """Equalities on the known fields; a district with ``*`` is a pattern, or is skipped on request."""
     out = []

@@ -38,3 +38,22 @@ def test_export(spark):
     rows = spark.createDataFrame([("c", "1", "/a/b.pdf", "D", "", "S", "", "", "text", ""), ("d", "1", None, "", "", "", "", "", " ", None)], "chunk_id string, cds_code string, source_path string, district string, county string, section_path string, goal_number string, action_number string, body_text string, search_text string")
     out = chunking.exported(rows).withColumn("t", chunking.embedding_text()).collect()
     assert [(r.district_doc_id, r.t) for r in out] == [("1:b.pdf", "District: D\nSection: S\n\ntext")]
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from tallyglass.__main__ import main
+
+    tables = {"chunks": fx.chunks(spark, sf).withColumn("cds_code", F.col("chunk_id")), "embeddings": fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")}
+    sinks.write_tables(tables, str(tmp_path))
+    assert "| Rank | Chunk |" in main(["search", str(tmp_path), "onre thand", "--filters", '{"district": "en"}'])
+    assert '"count": 2' in main(["search", str(tmp_path), "onre", "--limit", "2", "--json"])
+
+
+def test_report_helpers(spark):
+    from tallyglass.functions import text
+    from tallyglass.plans import reports
+
+    a = spark.createDataFrame([("x", 1, 0.0, True), ("y", 1, 5.0, True), ("z", 0, 0.0, True)], "district_name string, explicit_action_count int, explicit_action_dollars double, negative_pressure boolean")
+    assert (reports.pressured(a).count(), reports.pressured(a, funded=True).count()) == (2, 1)
+    r = spark.range(1).select(text.composed(", ", F.lit("a"), F.lit(" "), F.lit("b")).alias("c"), text.sanitised(F.array(F.lit("x" * 600), F.lit(None)), 25).alias("s")).first()
+    assert r.c == "a, b" and [len(x) for x in r.s] == [500]
