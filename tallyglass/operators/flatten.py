@@ -116,10 +116,11 @@ def _v(c: Column | str, path: str, kind: str) -> Column:
 def packages(texts: DataFrame, text: str = "value", stem: str | None = None) -> DataFrame:
     """``texts`` as variants with cds_code (the file's stem if the package has none), county, district."""
     rows = texts.withColumn("package", F.try_parse_json(text)).where("package is not null")
-    code = first_filled(_v("package", "$.metadata.district.cds_code", "string"), F.col(stem) if stem else F.lit(""))
+    code = clean(_v("package", "$.metadata.district.cds_code", "string"))
     return rows.select(
         "package",
-        code.alias("cds_code"),
+        code.alias("_code"),
+        first_filled(code, F.col(stem) if stem else F.lit("")).alias("cds_code"),
         clean(_v("package", "$.metadata.district.county", "string")).alias("county"),
         clean(_v("package", "$.metadata.district.district", "string")).alias("district"),
         _v("package", "$.metadata.school_year_id", "int").alias("_year"),
@@ -151,23 +152,27 @@ def _each(c: Column) -> Column:
 def dashboard_indicators(rows: DataFrame) -> DataFrame:
     """Summary cards that are objects with an object under ``primary``."""
     cards = F.coalesce(_v("package", "$.summary.summary_cards", "array<variant>"), F.array().cast("array<variant>"))
-    own = rows.select("cds_code", "county", "district", "_year", F.explode(cards).alias("card"))
+    own = rows.select("_code", "county", "district", "_year", F.explode(cards).alias("card"))
     own = own.withColumn("own", _v("card", "$.primary", "variant")).where(F.schema_of_variant("own").startswith("OBJECT"))
     key = first_filled(_v("card", "$.indicatorId", "string"), _v("own", "$.indicatorId", "string"))
-    code = first_filled("cds_code", _v("own", "$.cdsCode", "string")).alias("cds_code")
-    return own.select(code, "county", "district", *_named(key), *_measures("own"))
+    return own.select(_own_code(), "county", "district", *_named(key), *_measures("own"))
+
+
+def _own_code() -> Column:
+    """The package's code, else the row's; the file's stem counts for trends and flags only."""
+    return first_filled("_code", _v("own", "$.cdsCode", "string")).alias("cds_code")
 
 
 def dashboard_student_groups(rows: DataFrame) -> DataFrame:
     """Items under each indicator in three shapes: primary.list, primary as one row, or list."""
     groups = F.coalesce(_v("package", "$.student_groups", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    own = rows.select("cds_code", "county", "district", "_year", F.explode(groups).alias("key", "payload"))
-    own = own.select("cds_code", "county", "district", "_year", "key", F.explode(_each(F.col("payload"))).alias("item"))
+    own = rows.select("_code", "county", "district", "_year", F.explode(groups).alias("key", "payload"))
+    own = own.select("_code", "county", "district", "_year", "key", F.explode(_each(F.col("payload"))).alias("item"))
     primary = _v("item", "$.primary", "variant")
     is_object = F.coalesce(F.schema_of_variant(primary).startswith("OBJECT"), F.lit(False))
     found = F.when(is_object, F.coalesce(_v("item", "$.primary.list", "array<variant>"), F.array(primary))).otherwise(_v("item", "$.list", "array<variant>"))
-    own = own.select("cds_code", "county", "district", "_year", "key", F.explode(found).alias("own")).where(F.schema_of_variant("own").startswith("OBJECT"))
-    return own.select("cds_code", "county", "district", *_named(F.col("key")), *_measures("own"))
+    own = own.select("_code", "county", "district", "_year", "key", F.explode(found).alias("own")).where(F.schema_of_variant("own").startswith("OBJECT"))
+    return own.select(_own_code(), "county", "district", *_named(F.col("key")), *_measures("own"))
 
 
 def dashboard_trends(rows: DataFrame) -> DataFrame:
