@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyglass.llm.common import dropped, small_batches, table, written
+from tallyglass.llm.common import dropped, remember_only, remembers, small_batches, table, written
 
 BANDS, ROWS = 40, 5
 #: Low bits kept of each minimum: two of 32.
@@ -44,7 +44,9 @@ NUMERATOR, DENOMINATOR = 80, 100
 LEAST_YIELD, ROUNDS = 20, 8
 #: Members of a bucket that one block holds; a larger bucket is dealt over several blocks.
 BLOCK = 1024
-REMEMBERED_WORDS = 400_000
+#: Tables of ids of up to so many rows (16 MB) may be broadcast; larger ones are shuffled.
+BROADCAST_ROWS = 1_000_000
+REMEMBERED_WORDS = 200_000
 
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -64,6 +66,7 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+remembers("near_dedup", _HASHES.clear)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -135,6 +138,7 @@ _SKETCH = T.StructType(
 
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    remember_only("near_dedup")
     for df in batches:
         sets = [shingle_set(t) for t in df["_text"]]
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -256,7 +260,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     full = written(keyed.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select("_key"), "full")
     members = written(keyed.join(full, "_key"), "members")
     wanted = written(members.select("_id").distinct().join(firsts, "_id"), "wanted")
-    texts = written(source.join(wanted, ["_id", "_th"]).dropDuplicates(["_id"]).select("_id", "_text"), "texts")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = written(source.join(few, ["_id", "_th"]).dropDuplicates(["_id"]).select("_id", "_text"), "texts")
     near = written(sigs.join(wanted.select("_id"), "_id").select("_id", "_n", "_bits", "_keys"), "near")
 
     links, comps = None, None
