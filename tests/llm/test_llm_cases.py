@@ -217,3 +217,20 @@ def test_fuzzy_passages(spark):
     assert set(range(90, 210)) <= got[1] and len(set(range(30, 150)) - got[2]) <= 12 and len(set(range(117)) - got[3]) <= 2 and max(got[3]) < 125
     assert got[20] == got[21] == got[22] == set(range(80))
     assert passages.repeated_passages(docs(spark, [])).count() == 0
+
+
+def test_exact_passages_of_other_holders(spark):
+    rng = random.Random(17)
+    new = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    rows, need = [], []
+    for g in range(30):
+        # the least id, and the least and largest hash of ids, hold the first 45 words only
+        passage, ids = new(60), range(100 * g, 100 * g + 12)
+        order = [r[0] for r in spark.range(100 * g, 100 * g + 12).orderBy(F.xxhash64("id")).collect()]
+        short = {ids[0], order[0], order[-1]}
+        need += [k for k in ids if k not in short]
+        rows += [(k, " ".join(new(80) + passage[: 45 if k in short else 60] + new(80)), None, None, 0) for k in ids]
+    got = collections.defaultdict(set)
+    for r in passages.repeated_passages(docs(spark, rows)).collect():
+        got[r["_doc"]] |= set(range(r.start_word, r.end_word))
+    assert not [k for k in need if set(range(80, 140)) - got[k]]
