@@ -234,3 +234,19 @@ def test_exact_passages_of_other_holders(spark):
     for r in passages.repeated_passages(docs(spark, rows)).collect():
         got[r["_doc"]] |= set(range(r.start_word, r.end_word))
     assert not [k for k in need if set(range(80, 140)) - got[k]]
+
+
+def test_recall_of_edited_passages(spark):
+    rng = random.Random(23)
+    new = lambda n: [f"r{rng.randrange(10**9)}" for _ in range(n)]
+    kinds, rows = [(60, 6, 0.97), (60, 9, 0.85), (100, 15, 0.97), (100, 20, 0.95)], []
+    for k, (n, edits, _) in enumerate(kinds):
+        for j in range(100):
+            passage = new(n)
+            edited = list(passage)
+            for at in rng.sample(range(n), edits):
+                edited[at] = new(1)[0]
+            rows += [(1000 * k + 2 * j + s, " ".join(new(80) + x + new(80)), None, None, 0) for s, x in enumerate((passage, edited))]
+    got = {r["_doc"] for r in passages.repeated_passages(docs(spark, rows)).collect()}
+    recall = [sum(1000 * k + 2 * j + 1 in got for j in range(100)) / 100 for k in range(len(kinds))]
+    assert all(r >= least for r, (_, _, least) in zip(recall, kinds, strict=True)), recall
