@@ -266,7 +266,15 @@ def _codes(spark: SparkSession, d: str) -> DataFrame:
     cast(o_orderkey as varchar) goal_number, l_extendedprice total_funds from a""",
 )
 def _flatten(spark: SparkSession, d: str) -> DataFrame:
-    o = fx.table(spark, d, "orders").where("o_custkey % 20 = 0")
+    return _flattened(spark, d, fx.table(spark, d, "orders").where("o_custkey % 20 = 0"))
+
+
+@query("flatten_goals_actions_all", _ORACLES["flatten_goals_actions"].replace(" where o_custkey % 20 = 0", ""))
+def _flatten_all(spark: SparkSession, d: str) -> DataFrame:
+    return _flattened(spark, d, fx.table(spark, d, "orders"))
+
+
+def _flattened(spark: SparkSession, d: str, o: DataFrame) -> DataFrame:
     li = fx.table(spark, d, "lineitem")
     item = F.struct("l_linenumber", "l_extendedprice", "l_partkey", "l_quantity")
     acts = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey", "o_orderkey", "o_orderpriority").agg(F.array_sort(F.collect_list(item)).alias("x"))

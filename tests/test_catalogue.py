@@ -23,3 +23,8 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_all_accounts_are_flattened(spark, sf, duck):
+    got = catalogue.queries()["flatten_goals_actions_all"](spark, sf).count()
+    assert got == duck.sql("select count(*) from lineitem join orders on l_orderkey = o_orderkey").fetchall()[0][0]
