@@ -405,8 +405,17 @@ def _currency(spark: SparkSession, d: str) -> DataFrame:
 
 @query("numeric_tokens", "select o_orderkey, [cast(o_orderkey as double), -(o_orderkey % 10 + 0.5e0)] tokens, 2 n from orders where o_orderkey % 10 = 1")
 def _numbers(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(fx.table(spark, d, "orders").where("o_orderkey % 10 = 1"))
+
+
+@query("numeric_tokens_all", _ORACLES["numeric_tokens"].replace(" where o_orderkey % 10 = 1", ""))
+def _numbers_all(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(fx.table(spark, d, "orders"))
+
+
+def _numbered(orders: DataFrame) -> DataFrame:
     raw = F.format_string("a1b %,d, (%d.5%%) q", F.col("o_orderkey"), F.col("o_orderkey") % 10)
-    rows = fx.table(spark, d, "orders").where("o_orderkey % 10 = 1").select("o_orderkey", numeric.numbers(raw).alias("tokens"))
+    rows = orders.select("o_orderkey", numeric.numbers(raw).alias("tokens"))
     return rows.withColumn("n", F.size("tokens"))
 
 

@@ -28,3 +28,8 @@ def test_entry():
 def test_all_accounts_are_flattened(spark, sf, duck):
     got = catalogue.queries()["flatten_goals_actions_all"](spark, sf).count()
     assert got == duck.sql("select count(*) from lineitem join orders on l_orderkey = o_orderkey").fetchall()[0][0]
+
+
+def test_numbers_of_all_orders(spark, sf):
+    rows = catalogue.queries()["numeric_tokens_all"](spark, sf).collect()
+    assert {r.tokens[1] for r in rows} == {-(k + 0.5) for k in {r.o_orderkey % 10 for r in rows}} and len({r.tokens[1] for r in rows}) == 10
