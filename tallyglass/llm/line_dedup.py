@@ -7,7 +7,9 @@
    side) get an exact distinct count; the others are decided by the estimate.
 4. Lines on MIN_SITES sites or more are boilerplate and are removed from every document, unless
    that would take more than half of a document's characters: such a document is a copy of a
-   text that itself is widely spread, which is the near-duplicate operator's business.
+   text that itself is widely spread, which is the near-duplicate operator's business. With
+   ``only_copies`` such a document is spared only if the near-duplicate operator links it with
+   another one; all others lose their boilerplate whatever its share.
 
 Defined results: null texts stay null, have no lines and lose none; blank lines are never
 boilerplate; a null source is a site of its own; repeated rows each lose the same lines.
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.llm.common import table, written
+from tallyglass.llm.near_dedup import near_duplicates
 
 MIN_SITES = 10
 LG_CONFIG_K = 11
@@ -64,7 +67,15 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return written(sure.unionByName(exact.where(F.col("_n") >= min_sites).select(*by)), "boilerplate")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id", min_sites: int = MIN_SITES) -> DataFrame:
+def _copies(docs: DataFrame) -> DataFrame:
+    """Ids (_copy) of the documents that are near copies of another one of ``docs``."""
+    groups = near_duplicates(docs, "_id", "_text").where("_id is not null").select("_id", "component_id").distinct()
+    groups = written(groups, "groups")
+    several = groups.groupBy("component_id").agg(F.count("*").alias("_c")).where("_c > 1").select("component_id")
+    return written(groups.join(several, "component_id").select(F.col("_id").alias("_copy")), "copies")
+
+
+def deduplicated(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id", min_sites: int = MIN_SITES, only_copies: bool = False) -> DataFrame:
     """``docs`` with the text cleaned, and n_lines, n_removed (lines with a word)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed") or c == text]
     rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_row", F.struct(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
@@ -78,6 +89,11 @@ def deduplicated(docs: DataFrame, text: str = "text", site: str = "source", doc_
     found = found.withColumn("_stay", F.when(F.col("_at").isNotNull(), F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_at"))))
     found = found.withColumn("_clean", F.array_join(F.transform("_stay", lambda i: F.get(F.col("_split"), i)), "\n"))
     enough = F.coalesce(2 * F.length("_clean") >= F.length(F.col(f"`{text}`")), F.lit(False))
+    if only_copies:
+        heavy = found.where(F.col("_at").isNotNull() & ~enough)
+        copies = _copies(written(heavy.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")), "heavy"))
+        found = found.join(copies, F.col(f"`{doc_id}`").cast("long") == F.col("_copy"), "left")
+        enough = F.col("_at").isNotNull() & (enough | F.col("_copy").isNull())
     found = found.withColumns(
         {
             "n_lines": F.coalesce(F.size(F.filter(split, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long"),
@@ -95,7 +111,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: boilerplate lines leave the texts (n_chars follows); every document stays."""
-    out = deduplicated(docs)
+    out = deduplicated(docs, only_copies=True)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

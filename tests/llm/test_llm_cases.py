@@ -250,3 +250,16 @@ def test_recall_of_edited_passages(spark):
     got = {r["_doc"] for r in passages.repeated_passages(docs(spark, rows)).collect()}
     recall = [sum(1000 * k + 2 * j + 1 in got for j in range(100)) / 100 for k in range(len(kinds))]
     assert all(r >= least for r, (_, _, least) in zip(recall, kinds, strict=True)), recall
+
+
+def test_line_stage_spares_copies_only(spark):
+    menu = "\n".join(f"Menu entry number {k} of every site" for k in range(6))
+    copied = "\n".join(f"Line {k} of a text that many sites carry" for k in range(6))
+    rows = [(k, f"{menu}\nown words of page {k}", "en", f"s{k}", 0) for k in range(3)]
+    rows += [(10 + k, menu.split("\n")[k % 6] + "\n" + " ".join(f"b{k}x{j}" for j in range(60)), "en", f"t{k}", 0) for k in range(72)]
+    rows += [(100 + k, copied, "en", f"u{k}", 0) for k in range(12)]
+    rows[1] = (1, menu.split("\n")[0] + "\n" + menu.split("\n")[1] + "\nquite short", "en", "s1", 0)
+    rows[2] = (2, menu.split("\n")[3] + "\n" + menu.split("\n")[4] + "\nanother one", "en", "s2", 0)
+    got = {r.doc_id: r.text for r in line_dedup.stage(spark, docs(spark, rows), "").collect()}
+    assert (got[0], got[1], got[2]) == ("own words of page 0", "quite short", "another one")
+    assert all(got[100 + k] == copied for k in range(12)) and len(got) == len(rows)
