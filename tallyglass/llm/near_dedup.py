@@ -24,6 +24,7 @@ order of its hash) for linking and all come back; a null doc_id forms a componen
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ BANDS, ROWS = 40, 5
 BITS = 2
 PERMUTATIONS = BANDS * ROWS
 WORDS64 = PERMUTATIONS * BITS // 64 + bool(PERMUTATIONS * BITS % 64)
+#: Words of a shingle, unless a caller names another length.
+SHINGLE = 2
 #: Similarity as a fraction, compared in integers.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Rounds with other representatives go on while one pair in so many is linked, and end here.
@@ -75,13 +78,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct 2-word shingles of a text."""
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text; one of fewer words is one shingle."""
     words = text.encode("utf-8").lower().split() if text else []  # bytes: ASCII case and white space
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    if len(h) > 1:
-        h = _mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + np.roll(h, -1)[:-1])
-    return np.unique(h)
+    n = min(shingle, len(h))
+    out = h[: len(h) - n + 1] if n else h
+    for j in range(1, n):
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + len(out)])
+    return np.unique(out)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -137,10 +142,10 @@ _SKETCH = T.StructType(
 )
 
 
-def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketched(batches: Iterator[pd.DataFrame], shingle: int = SHINGLE) -> Iterator[pd.DataFrame]:
     remember_only("near_dedup")
     for df in batches:
-        sets = [shingle_set(t) for t in df["_text"]]
+        sets = [shingle_set(t, shingle) for t in df["_text"]]
         full = [i for i, s in enumerate(sets) if len(s)]
         minima = signatures([sets[i] for i in full])
         bits, keys = [[]] * len(sets), [[]] * len(sets)
@@ -180,7 +185,7 @@ _E = 0.8 + 0.2 * 2.0**-BITS
 LEAST_ESTIMATE = 0.8 - 6 * (_E * (1 - _E) / PERMUTATIONS) ** 0.5 / (1 - 2.0**-BITS)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Pairs (_a, _b) whose full shingle sets reach the similarity. ``texts`` has _id, _text."""
     one = texts.select(F.col("_id").alias("_b"), F.col("_text").alias("_tb"))
     two = texts.select(F.col("_id").alias("_a"), F.col("_text").alias("_ta"))
@@ -193,8 +198,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out = []
             for x, p, q in zip(a, ta, tb, strict=True):
                 if x != last:
-                    last, of_last = x, shingle_set(p)
-                s = shingle_set(q)
+                    last, of_last = x, shingle_set(p, shingle)
+                s = shingle_set(q, shingle)
                 both = len(np.intersect1d(of_last, s, assume_unique=True))
                 out.append(DENOMINATOR * both >= NUMERATOR * (len(of_last) + len(s) - both))
             yield pd.Series(out, dtype=bool)
@@ -244,11 +249,11 @@ def _estimate_passes(pairs: DataFrame, near: DataFrame) -> DataFrame:
     return pairs.join(b, "_b").join(a, "_a").where(sizes & (estimated(F.col("_ba"), F.col("_bb")) >= LEAST_ESTIMATE)).select("_a", "_b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: _id, _n (set size), component_id."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"), F.xxhash64(F.col(f"`{text}`")).alias("_th"))
-    sketches = written(source.mapInPandas(_sketched, _SKETCH), "sketches")
+    sketches = written(source.mapInPandas(partial(_sketched, shingle=shingle), _SKETCH), "sketches")
     # classes of equal sets: the document of smallest id stands for all
     one = sketches.where("_n > 0 and _id is not null").groupBy("_id").agg(F.min(F.struct("_th", "_n", "_fp1", "_fp2")).alias("_f")).select("_id", "_f.*")
     one = written(one, "ids")
@@ -274,11 +279,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if reps.isEmpty():
             break
         if across:
-            got, made = written(_across(labelled.join(reps.select("_key"), "_key"), near, texts), "links"), 0
+            got, made = written(_across(labelled.join(reps.select("_key"), "_key"), near, texts, shingle), "links"), 0
         else:
             pairs = labelled.join(reps, "_key").where("_comp <> _ca").select(F.col("_id").alias("_b"), "_a").distinct()
             pairs = written(_estimate_passes(pairs, near), "pairs")
-            got, made = written(confirmed(pairs, texts), "links"), pairs.count()
+            got, made = written(confirmed(pairs, texts, shingle), "links"), pairs.count()
         found = got.count()
         if found:
             links = got if links is None else links.unionByName(got)
@@ -300,7 +305,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("_id", "_n", F.when(F.col("_n") > 0, F.coalesce("_comp", "_id")).otherwise(F.col("_id")).alias("component_id"))
 
 
-def _across(labelled: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(labelled: DataFrame, near: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Links (_a, _b) between the components of a bucket, one at least for each two that are linked."""
     sizes = labelled.groupBy("_key", "_comp").agg(F.count("*").alias("_c"))
     tops = sizes.groupBy("_key").agg(F.max(F.struct("_c", "_comp")).alias("_m"), F.sum("_c").alias("_all"))
@@ -311,10 +316,10 @@ def _across(labelled: DataFrame, near: DataFrame, texts: DataFrame) -> DataFrame
     rows = rows.withColumn("_block", F.explode(F.when(F.col("_rest"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("_own"))))
     rows = written(rows.select("_key", "_block", "_id", "_comp", "_rest", (F.col("_block") == F.col("_own")).alias("_right")), "blocks")
     rows = rows.join(near, "_id").join(texts, "_id").repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_id")
-    return rows.select("_key", "_block", "_id", "_comp", "_rest", "_right", "_n", "_bits", "_keys", "_text").mapInPandas(_block_links, "_a long, _b long").distinct()
+    return rows.select("_key", "_block", "_id", "_comp", "_rest", "_right", "_n", "_bits", "_keys", "_text").mapInPandas(partial(_block_links, shingle=shingle), "_a long, _b long").distinct()
 
 
-def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _block_links(batches: Iterator[pd.DataFrame], shingle: int = SHINGLE) -> Iterator[pd.DataFrame]:
     """Rows sorted by block to the links within each block; a block may span batches."""
     rest = None
     for df in batches:
@@ -324,15 +329,15 @@ def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         k, b = df["_key"].to_numpy(), df["_block"].to_numpy()
         cut = np.concatenate([[0], np.flatnonzero((np.diff(k) != 0) | (np.diff(b) != 0)) + 1]).tolist()
-        out = [x for lo, hi in zip(cut[:-1], cut[1:], strict=True) for x in _links_of(df.iloc[lo:hi])]
+        out = [x for lo, hi in zip(cut[:-1], cut[1:], strict=True) for x in _links_of(df.iloc[lo:hi], shingle)]
         rest = df.iloc[cut[-1] :]
         if out:
             yield pd.DataFrame(out, columns=["_a", "_b"])
     if rest is not None and len(rest):
-        yield pd.DataFrame(_links_of(rest), columns=["_a", "_b"])
+        yield pd.DataFrame(_links_of(rest, shingle), columns=["_a", "_b"])
 
 
-def _links_of(block: pd.DataFrame) -> list[tuple[int, int]]:
+def _links_of(block: pd.DataFrame, shingle: int = SHINGLE) -> list[tuple[int, int]]:
     key = block["_key"].iloc[0]
     ids, comps, n = (block[c].to_numpy(np.int64) for c in ("_id", "_comp", "_n"))
     right = np.flatnonzero(block["_right"].to_numpy(bool))
@@ -349,7 +354,7 @@ def _links_of(block: pd.DataFrame) -> list[tuple[int, int]]:
 
     def of(i: int) -> np.ndarray:
         if i not in sets:
-            sets[i] = shingle_set(texts[i])
+            sets[i] = shingle_set(texts[i], shingle)
         return sets[i]
 
     out = []

@@ -263,3 +263,11 @@ def test_line_stage_spares_copies_only(spark):
     got = {r.doc_id: r.text for r in line_dedup.stage(spark, docs(spark, rows), "").collect()}
     assert (got[0], got[1], got[2]) == ("own words of page 0", "quite short", "another one")
     assert all(got[100 + k] == copied for k in range(12)) and len(got) == len(rows)
+
+
+def test_near_duplicates_by_five_words(spark):
+    words = [f"s{k}" for k in range(200)]
+    edited = ["other" + w if k % 25 == 12 else w for k, w in enumerate(words)]  # 0.85 at two words, 0.66 at five
+    rows = [(1, " ".join(words), None, None, 0), (2, " ".join(edited), None, None, 0), (3, " ".join(words[:-1]), None, None, 0)]
+    got = lambda n: {r["_id"]: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows), shingle=n).collect()}
+    assert got(2) == {1: 1, 2: 1, 3: 1} and got(5) == {1: 1, 2: 2, 3: 1}
