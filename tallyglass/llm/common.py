@@ -83,28 +83,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the reread table.
 
     Cuts lineage: a lost executor costs at most the stages since the last written table.
+    ``arrow_rows``: rows of an Arrow batch while this table is made.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # what the write has shuffled is of no further use
+    own = {CLEANUP: "true"}  # what the write has shuffled is of no further use
+    if arrow_rows:
+        own["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(arrow_rows)
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a table made by ``written`` that no later step reads."""
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables made by ``written`` that no later step reads."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for parent in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
         p = jvm.org.apache.hadoop.fs.Path(parent)
         p.getFileSystem(conf).delete(p, True)
 
