@@ -17,7 +17,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -74,10 +74,13 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary folder is used.
+    Where ``spark.checkpoint.dir`` is unset, a temporary folder is used in local mode (tests on
+    one machine); anywhere else that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -115,6 +118,17 @@ def dropped(spark: SparkSession, *tables: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def sealed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` within one struct, ``_in``: an operator's own columns can't clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_in"))
+
+
+def opened(df: DataFrame, columns: list[str], **others: Column) -> DataFrame:
+    """The named columns out of ``_in``, some of them replaced, then the other ones."""
+    own = [others[c].alias(c) if c in others else F.col("_in").getField(c).alias(c) for c in columns]
+    return df.select(*own, *[v.alias(k) for k, v in others.items() if k not in columns])
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns, under the operator's own names: picked(df, _id="doc_id")."""
     return df.select(*[F.col(f"`{src}`").alias(out) for out, src in columns.items()])

@@ -4,18 +4,22 @@ Found in whole texts by one pattern, then validated, then permuted within their
 
 * card: 13 to 19 digits (single spaces or hyphens between) that pass the Luhn check; all digits
   but the last are permuted, the last becomes the new check digit
-* phone: an international or bracketed number of 10 digits after the country code; its last ten
-  digits are permuted
-* ssn: ddd-dd-dddd with possible group numbers; nine digits permuted
+* phone: a bracketed or hyphenated number of 10 digits, or an international one of 8 to 15 digits
+  with any grouping; the digits after the country code are permuted
+* ssn: ddd-dd-dddd with possible group numbers, permuted among the possible ones
 * ip: four octets up to 255, permuted as one 32-bit number
 * date: a real calendar day from 1900-01-01 on within DAYS days, in ISO, slashed or dotted form,
-  permuted among these days
+  permuted among those of these days whose month and day have as many digits: so a date keeps its
+  width however it is written, and is the same date in every form
 * email and secret (a quoted or assigned key, token, secret or password of 16 hexadecimal or
   more characters): no number to permute; replaced by a keyed digest in the same alphabet
 
 The permutation is a bijection of the format's domain under the key, so equal values become
 equal pseudonyms in every document and different values stay different. Separators, quotes and
-everything around a value stay as they are. Values that fail validation are left alone.
+everything around a value stay as they are. Values that fail validation are left alone. Where a
+domain has gaps the permutation is applied until a value of the domain comes out (cycle walking).
+
+The key comes into the plan as a scalar subquery, so neither plans nor event logs show it.
 
 Only built-in functions run: matches are taken and put back within the row, without a shuffle.
 
@@ -25,10 +29,12 @@ unchanged; repeated rows get the same pseudonyms; the key must not be empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import table
+from tallyglass.llm.common import opened, sealed, table
 
 #: The pseudonym key; a deployment sets its own in this session setting.
 KEY_SETTING = "spark.tallyglass.pseudonym.key"
@@ -38,11 +44,13 @@ ROUNDS = 8
 DAYS, DAY_HALVES = 199 * 367, (199, 367)
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: No text without one of these holds a value.
+HINT = r"[0-9@]|(?i:key|token|secret|password)"
 SECRET = r"(?i:(?:api[_-]?key|key|token|secret|password))[\x22']?\s{0,3}[:=]\s{0,3}[\x22']?[0-9A-Fa-f]{16,}"
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 DATE = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
-PHONE = r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
+PHONE = r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}(?:[ .-]\(?\d{1,5}\)?){2,5}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}"
 CARD = r"\d(?:[ -]?\d){12,18}"
 _EDGE, _END = r"(?<![\p{L}\p{N}_.@+-])", r"(?![\p{L}\p{N}_@]|[.-][\p{L}\p{N}])"
 PATTERN = f"{SECRET}(?![0-9A-Za-z])|{_EDGE}(?:{EMAIL}|{PHONE}{_END}|{SSN}{_END}|{DATE}{_END}|{IP}{_END}|{CARD}{_END})"
@@ -113,14 +121,31 @@ def _card(value: Column, key: Column) -> Column:
     return in_format(value, F.concat(body, F.element_at(checked, 1).cast("string")))
 
 
+def _country(value: Column) -> Column:
+    """Digits of the country code: those up to the first separator after the plus sign, else all but ten."""
+    own = F.length(F.regexp_extract(value, r"^\+(\d{1,3})[ .(-]", 1))
+    return F.when(own > 0, own).otherwise(F.length(_digits(value)) - 10)
+
+
 def _phone(value: Column, key: Column) -> Column:
     digits = _digits(value)
-    country = F.left(digits, F.length(digits) - 10)
-    return in_format(value, F.concat(country, permuted_digits(F.right(digits, F.lit(10)), key, "phone")))
+    n = _country(value)
+    return in_format(value, F.concat(F.left(digits, n), permuted_digits(F.substring(digits, n + 1, F.length(digits) - n), key, "phone")))
 
 
 def _ssn(value: Column, key: Column) -> Column:
-    return in_format(value, permuted_digits(_digits(value), key, "ssn"))
+    """Permuted among 898 areas (001 to 899 but 666), 99 groups and 9999 serial numbers."""
+    part = lambda k: F.split_part(value, F.lit("-"), F.lit(k)).cast("long")
+    area = part(1) - 1 - F.when(part(1) > 666, 1).otherwise(0)
+    moved = feistel((area * 99 + part(2) - 1) * 9999 + part(3) - 1, F.lit(9999).cast("long"), F.lit(898 * 99).cast("long"), key, "ssn")
+    text = lambda x, n: F.lpad(x.cast("string"), n, F.lit("0"))
+
+    def said(x: Column) -> Column:
+        high = _div(x, F.lit(9999).cast("long"))
+        area = _div(high, F.lit(99).cast("long")) + 1
+        return F.concat_ws("-", text(area + F.when(area >= 666, 1).otherwise(0), 3), text(F.pmod(high, F.lit(99)) + 1, 2), text(F.pmod(x, F.lit(9999)) + 1, 4))
+
+    return _let(moved, said)
 
 
 def _octet(value: Column, k: int) -> Column:
@@ -151,14 +176,51 @@ def _day_number(value: Column) -> Column:
     return F.datediff(_date_parts(value)[0], F.lit("1900-01-01").cast("date")).cast("long")
 
 
+#: Applications of a permutation until a real day comes out: one in 33 at most isn't one.
+WALKS = 16
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _date(value: Column, key: Column) -> Column:
-    """Permuted among DAYS days; fields are written with two digits, in the order they had."""
-    moved = feistel(_day_number(value), F.lit(DAY_HALVES[1]).cast("long"), F.lit(DAY_HALVES[0]).cast("long"), key, "date")
-    day = F.date_add(F.lit("1900-01-01").cast("date"), moved.cast("int"))
-    _, order = _date_parts(value)
-    sign = F.regexp_extract(value, r"[-/.]", 0)
-    y, m, d = F.date_format(day, "yyyy"), F.date_format(day, "MM"), F.date_format(day, "dd")
-    return F.when(order == "ymd", F.concat_ws("", y, sign, m, sign, d)).when(order == "dmy", F.concat_ws("", d, sign, m, sign, y)).otherwise(F.concat_ws("", m, sign, d, sign, y))
+    """Permuted among the days whose month and day have as many digits; fields keep their order and width."""
+
+    def begin(day: Column) -> Column:
+        late_month, late_day = F.month(day) > 9, F.dayofmonth(day) > 9
+        m0, months = F.when(late_month, 10).otherwise(1), F.when(late_month, 3).otherwise(9)
+        d0, days = F.when(late_day, 10).otherwise(1), F.when(late_day, 22).otherwise(9)
+        x = ((F.year(day) - 1900) * months + F.month(day) - m0) * days + F.dayofmonth(day) - d0
+        parts = {"x": x, "low": months * days, "days": days, "m0": m0, "d0": d0, "moved": F.lit(0)}
+        return F.struct(*[v.cast("long").alias(k) for k, v in parts.items()])
+
+    def fields(s: Column) -> Column:
+        rest = F.pmod(s["x"], s["low"])
+        return F.struct((_div(s["x"], s["low"]) + 1900).alias("y"), (_div(rest, s["days"]) + s["m0"]).alias("m"), (F.pmod(rest, s["days"]) + s["d0"]).alias("d"))
+
+    def real(f: Column) -> Column:
+        leap = F.when((f["y"] % 4 == 0) & ((f["y"] % 100 != 0) | (f["y"] % 400 == 0)), 29).otherwise(28)
+        most = F.when(f["m"] == 2, leap).when(f["m"].isin(4, 6, 9, 11), 30).otherwise(31)
+        return (f["d"] <= most) & ((f["y"] < 2099) | (f["m"] < 12) | (f["d"] < 16))  # the last of DAYS days
+
+    def walk(s: Column, _: Column) -> Column:
+        moved = feistel(s["x"], s["low"], F.lit(200).cast("long"), key, "date")
+        next_ = F.struct(moved.alias("x"), *[s[k].alias(k) for k in ("low", "days", "m0", "d0")], F.lit(1).cast("long").alias("moved"))
+        return F.when((s["moved"] == 1) & _let(fields(s), real), s).otherwise(next_)
+
+    part = lambda k: F.split_part(F.translate(value, "/.", "--"), F.lit("-"), F.lit(k))
+    own = lambda x, k: F.lpad(x.cast("string"), F.length(part(k)), F.lit("0"))
+    sign, second = F.regexp_extract(value, r"[-/.]", 0), F.regexp_extract(value, r"[-/.]\d+([-/.])", 1)
+    put = lambda a, b, c: F.concat(own(a, 1), sign, own(b, 2), second, own(c, 3))
+
+    def said(t: Column) -> Column:
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), _let(t["day"], begin), walk, fields)
+        return _let(end, lambda f: F.when(t["order"] == "ymd", put(f["y"], f["m"], f["d"])).when(t["order"] == "dmy", put(f["d"], f["m"], f["y"])).otherwise(put(f["m"], f["d"], f["y"])))
+
+    day, order = _date_parts(value)
+    return _let(F.struct(day.alias("day"), order.alias("order")), said)
 
 
 def _keyed_hex(value: Column, key: Column, kind: str) -> Column:
@@ -191,10 +253,15 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(f"^(?:{DATE})$"), F.when(in_days, "date"))
         .when(value.rlike(f"^{IP}$"), F.when(octets[0] & octets[1] & octets[2] & octets[3], "ip"))
         .when(number, "card")
-        .when(value.rlike(f"^(?:{PHONE})$"), "phone")
+        .when(value.rlike(f"^(?:{PHONE})$") & F.length(digits).between(8, 15) & (F.length(digits) - _country(value)).between(6, 14), "phone")
     )
 
 
+def _hidden(spark: SparkSession, key: str) -> Column:
+    """The key as a column that plans don't show: a scalar subquery on a table of one row."""
+    return spark.createDataFrame([(key,)], "key string").scalar()
+
+
 def pseudonym(value: Column, kind: Column, key: Column) -> Column:
     makers = {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "email": _email, "secret": _secret}
     out = None
@@ -210,17 +277,16 @@ def pseudonymised(docs: DataFrame, key: str = DEMO_KEY, text: str = "text") -> D
         raise ValueError("the pseudonym key must not be empty")
     outs = [f"n_{k}" for k in KINDS]
     own = [c for c in docs.columns if c not in outs or c == text]
-    t = F.col(f"`{text}`")
-    some = t.rlike("[0-9@]")
-    rows = docs.select(*[F.col(f"`{c}`") for c in own])
-    rows = rows.withColumn("_found", F.when(some, F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))))
+    rows = sealed(docs).withColumns({"_text": F.col("_in").getField(text), "_key": _hidden(docs.sparkSession, key)})
+    t = F.col("_text")
+    rows = rows.withColumn("_found", F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))))
     has = F.size("_found") > 0
     rows = rows.withColumn("_kinds", F.when(has, F.transform("_found", kind_of)))
-    rows = rows.withColumn("_new", F.when(has, F.zip_with("_found", "_kinds", lambda v, k: pseudonym(v, k, F.lit(key)))))
+    rows = rows.withColumn("_new", F.when(has, F.zip_with("_found", "_kinds", lambda v, k: pseudonym(v, k, F.col("_key")))))
     pieces = F.split(t, PATTERN, -1)
     woven = F.array_join(F.zip_with(pieces, F.array_append("_new", F.lit("")), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
     counts = {f"n_{k}": F.coalesce(_count("_kinds", k), F.lit(0)).cast("long") for k in KINDS}
-    return rows.withColumns({text: F.when(has, woven).otherwise(t)} | counts).select(*own, *outs)
+    return opened(rows, own, **{text: F.when(has, woven).otherwise(t)} | {k: v for k, v in counts.items() if k != text})
 
 
 def _count(kinds: str, kind: str) -> Column:
