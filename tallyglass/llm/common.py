@@ -129,6 +129,11 @@ def opened(df: DataFrame, columns: list[str], **others: Column) -> DataFrame:
     return df.select(*own, *[v.alias(k) for k, v in others.items() if k not in columns])
 
 
+def keyed(doc_id: Column, text: Column) -> Column:
+    """The id as a number, or for a null id a number of the text, far above any id in use."""
+    return F.coalesce(doc_id.cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62)))
+
+
 def picked(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns, under the operator's own names: picked(df, _id="doc_id")."""
     return df.select(*[F.col(f"`{src}`").alias(out) for out, src in columns.items()])

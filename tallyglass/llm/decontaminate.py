@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import table, written
+from tallyglass.llm.common import keyed, table, written
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
@@ -104,9 +104,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    found = written(found_items(docs, table(spark, sf_dir, "benchmark")).select(F.col("_doc").alias("_gone")).distinct(), "found")
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+    """Pipeline stage: documents that hold a benchmark item go, those without an id too."""
+    own = keyed(F.col("doc_id"), F.col("text"))
+    found = found_items(docs.select(own.alias("_own"), "text"), table(spark, sf_dir, "benchmark"), "_own")
+    found = written(found.select(F.col("_doc").alias("_gone")).distinct(), "found")
+    return docs.join(found, own == found["_gone"], "left_anti")
 
 
 ORACLE = r"""

@@ -37,8 +37,10 @@ from tallyglass.llm.common import table, written
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
 BINS = 256
-#: Largest number of shingles of each size class. Larger templates are refused.
+#: Largest number of shingles of the size classes that the built-in templates fall into.
 CLASSES = (4, 16, 64, 256)
+#: Classes go on by powers of four for given templates; no license text comes near to the last.
+MOST_SHINGLES = 4**7
 #: Templates are broadcast: more than so many are refused.
 MOST_TEMPLATES = 5000
 
@@ -85,14 +87,15 @@ def template_index(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     """_template, _len, _strings, _class (upper size of the class), _minima."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"{len(templates)} templates are over {MOST_TEMPLATES}")
-    rows = F.array(*[F.struct(F.lit(k).alias("_template"), F.lit(v).alias("_text")) for k, v in sorted(templates.items())])
-    own = spark.range(1).select(F.explode(rows).alias("t")).select("t._template", words_of(F.col("t._text")).alias("_words")).where(F.size("_words") > 0)
+    own = spark.createDataFrame(sorted(templates.items()), "_template string, _text string")
+    own = own.select("_template", words_of(F.col("_text")).alias("_words")).where(F.size("_words") > 0)
     own = own.withColumn("_len", F.least(F.size("_words"), F.lit(SHINGLE)))
     own = own.withColumn("_strings", _strings(F.col("_words"), F.col("_len")))
     hashed = reduce(lambda out, n: F.when(F.col("_len") == n, _hashes("_words", n)).otherwise(out), range(1, SHINGLE + 1), F.lit(None).cast("array<bigint>"))
     own = own.withColumn("_hashes", F.sort_array(F.array_distinct(hashed)))
     size = F.size("_strings")
-    upper = reduce(lambda out, c: F.when(size <= c, c).otherwise(out), reversed(CLASSES), F.lit(None).cast("int"))
+    classes = [4**k for k in range(1, 10) if 4**k <= MOST_SHINGLES]
+    upper = reduce(lambda out, c: F.when(size <= c, c).otherwise(out), reversed(classes), F.lit(None).cast("int"))
     own = own.withColumn("_class", upper)
     one = F.slice("_hashes", 1, 1)
     return own.withColumn("_minima", F.when(F.col("_class") == CLASSES[0], one).otherwise(_bin_minima("_hashes"))).drop("_words", "_hashes")
@@ -107,10 +110,10 @@ def _bin_minima(ordered: str) -> Column:
 def found_templates(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """_doc, _template, first_word (of the best window), n_shared, n_template."""
     spark = docs.sparkSession
-    index = written(template_index(spark, templates or TEMPLATES), "templates")
-    shapes = [tuple(r) for r in index.select("_class", "_len").distinct().orderBy("_class", "_len").collect()]  # at most 4 + 4
+    index = written(template_index(spark, TEMPLATES if templates is None else templates), "templates")
+    shapes = [tuple(r) for r in index.select("_class", "_len").distinct().orderBy("_class", "_len").collect()]  # at most 7 + 4
     if any(c is None for c, _ in shapes):
-        raise ValueError(f"a template has more than {CLASSES[-1]} shingles")
+        raise ValueError(f"a template has more than {MOST_SHINGLES} shingles")
     source = docs.select(F.col(f"`{doc_id}`").alias("_doc"), words_of(F.col(f"`{text}`")).alias("_words")).where("_doc is not null")
     keys = F.broadcast(written(index.select("_template", "_class", "_len", F.explode("_minima").alias("_h")), "minima"))
 

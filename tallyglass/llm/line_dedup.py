@@ -1,7 +1,9 @@
 """Cross-site line deduplication by the spread of a line over distinct sites.
 
-1. Lines (white space trimmed at both ends) are hashed to 96 bits. One aggregation finds the
-   lines on two sites or more: smallest and largest site hash differ.
+1. Lines (white space trimmed at both ends) are hashed to 96 bits and reduced to distinct pairs of
+   line and site, in partial aggregation. So a line that a third of all rows hold is dealt out by
+   its sites, and counts as many rows from here on as it has sites. One aggregation finds the lines
+   on two sites or more: smallest and largest site hash differ.
 2. For those, a HyperLogLog sketch of sites per line is built in partial aggregation and merged.
 3. Lines whose estimate lies near the threshold (four standard errors and one site to either
    side) get an exact distinct count; the others are decided by the estimate.
@@ -12,8 +14,8 @@
    another one; all others lose their boilerplate whatever its share.
 
 Defined results: null texts stay null, have no lines and lose none; blank lines are never
-boilerplate; a null source is a site of its own; repeated rows each lose the same lines.
-Sketches merge by aggregation, so a line that a third of all rows hold costs a row per task.
+boilerplate; a null source is a site of its own; repeated rows each lose the same lines. Input
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import table, written
+from tallyglass.llm.common import dropped, opened, sealed, table, written
 from tallyglass.llm.near_dedup import near_duplicates
 
 MIN_SITES = 10
 LG_CONFIG_K = 11
 #: Standard error of the sketch: 1.04 / sqrt(2**11).
 ERROR = 1.04 / (1 << LG_CONFIG_K) ** 0.5
+#: Hundredths of its characters that a document may lose, unless only copies are spared.
 MOST_LOST = 50
 #: Key tables of up to so many rows (20 bytes each) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -40,31 +43,34 @@ def _bounded(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
-    """_k1, _k2 (document), _site, _i (place), _h1, _h2 (line), _c (characters) of lines with a word."""
-    rows = docs.select(
+def _lines(rows: DataFrame) -> DataFrame:
+    """_k1, _k2 (document), _site, _i (place), _h1, _h2 (line) of lines with a word. ``rows`` has _row, _text, _source."""
+    rows = rows.select(
         F.xxhash64("_row").alias("_k1"),
         F.hash("_row").alias("_k2"),
-        F.xxhash64(F.coalesce(F.col(f"`{site}`"), F.lit("\0"))).alias("_site"),
-        F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("_i", "_raw"),
+        F.xxhash64(F.coalesce(F.col("_source"), F.lit("\0"))).alias("_site"),
+        F.posexplode(F.split("_text", "\n")).alias("_i", "_raw"),
     )
     rows = rows.withColumn("_line", F.trim("_raw", F.lit(" \t\n\x0b\f\r")))
-    return rows.where("_line <> ''").select("_k1", "_k2", "_site", "_i", F.xxhash64("_line").alias("_h1"), F.hash("_line").alias("_h2"), F.length("_raw").alias("_c"))
+    return rows.where("_line <> ''").select("_k1", "_k2", "_site", "_i", F.xxhash64("_line").alias("_h1"), F.hash("_line").alias("_h2"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Keys (_h1, _h2) of the lines on ``min_sites`` distinct sites or more."""
     by = ["_h1", "_h2"]
-    spread = lines.groupBy(*by).agg(F.min("_site").alias("_lo"), F.max("_site").alias("_hi"))
+    pairs = written(lines.select(*by, "_site").distinct(), "pairs")
+    spread = pairs.groupBy(*by).agg(F.min("_site").alias("_lo"), F.max("_site").alias("_hi"))
     spread = written(spread.where("_lo <> _hi").select(*by), "spread")
-    shared = lines.select(*by, "_site").join(_bounded(spread), by)
+    shared = pairs.join(_bounded(spread), by)
     sketches = shared.groupBy(*by).agg(F.hll_sketch_agg("_site", LG_CONFIG_K).alias("_sketch"))
     estimates = written(sketches.select(*by, F.hll_sketch_estimate("_sketch").alias("_est")), "estimates")
     width = 4 * ERROR * min_sites + 1
     near = written(estimates.where(F.abs(F.col("_est") - min_sites) <= width).select(*by), "near")
-    exact = lines.select(*by, "_site").join(_bounded(near), by).distinct().groupBy(*by).agg(F.count("*").alias("_n"))
+    exact = pairs.join(_bounded(near), by).groupBy(*by).agg(F.count("*").alias("_n"))
     sure = estimates.where(F.col("_est") > min_sites + width).select(*by)
-    return written(sure.unionByName(exact.where(F.col("_n") >= min_sites).select(*by)), "boilerplate")
+    out = written(sure.unionByName(exact.where(F.col("_n") >= min_sites).select(*by)), "boilerplate")
+    dropped(lines.sparkSession, pairs, spread, estimates, near)
+    return out
 
 
 def _copies(docs: DataFrame) -> DataFrame:
@@ -75,33 +81,30 @@ def _copies(docs: DataFrame) -> DataFrame:
     return written(groups.join(several, "component_id").select(F.col("_id").alias("_copy")), "copies")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id", min_sites: int = MIN_SITES, only_copies: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id", min_sites: int = MIN_SITES, only_copies: bool = False, most_lost: int = MOST_LOST) -> DataFrame:
     """``docs`` with the text cleaned, and n_lines, n_removed (lines with a word)."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed") or c == text]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_row", F.struct(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    lines = _lines(rows, text, site)
+    at = lambda c: F.col("_in").getField(c)
+    rows = sealed(docs).select("_in", at(doc_id).alias("_doc"), at(text).alias("_text"), at(site).alias("_source"), F.struct(at(doc_id), at(text)).alias("_row"))
+    lines = _lines(rows)
     keys = boilerplate(lines, min_sites)
     hits = lines.join(_bounded(keys), ["_h1", "_h2"]).groupBy("_k1", "_k2").agg(F.collect_set("_i").alias("_at"))
     hits = written(hits, "hits")
-    found = rows.withColumns({"_k1": F.xxhash64("_row"), "_k2": F.hash("_row")}).join(hits, ["_k1", "_k2"], "left").drop("_k1", "_k2", "_row")
-    split = F.split(F.col(f"`{text}`"), "\n")
+    found = rows.withColumns({"_k1": F.xxhash64("_row"), "_k2": F.hash("_row")}).join(hits, ["_k1", "_k2"], "left").select("_in", "_doc", "_text", "_at")
+    split = F.split("_text", "\n")
     found = found.withColumn("_split", F.when(F.col("_at").isNotNull(), split))
     found = found.withColumn("_stay", F.when(F.col("_at").isNotNull(), F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_at"))))
     found = found.withColumn("_clean", F.array_join(F.transform("_stay", lambda i: F.get(F.col("_split"), i)), "\n"))
-    enough = F.coalesce(2 * F.length("_clean") >= F.length(F.col(f"`{text}`")), F.lit(False))
+    enough = F.coalesce(100 * F.length("_clean") >= (100 - most_lost) * F.length("_text"), F.lit(False))
     if only_copies:
         heavy = found.where(F.col("_at").isNotNull() & ~enough)
-        copies = _copies(written(heavy.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")), "heavy"))
-        found = found.join(copies, F.col(f"`{doc_id}`").cast("long") == F.col("_copy"), "left")
+        copies = _copies(written(heavy.select(F.col("_doc").alias("_id"), "_text"), "heavy"))
+        found = found.join(copies, F.col("_doc").cast("long") == F.col("_copy"), "left")
         enough = F.col("_at").isNotNull() & (enough | F.col("_copy").isNull())
-    found = found.withColumns(
-        {
-            "n_lines": F.coalesce(F.size(F.filter(split, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long"),
-            "n_removed": F.when(enough, F.size("_at")).otherwise(0).cast("long"),
-            text: F.when(enough, F.col("_clean")).otherwise(F.col(f"`{text}`")),
-        }
-    )
-    return found.select(*own, "n_lines", "n_removed")
+    n_lines = F.coalesce(F.size(F.filter(split, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
+    n_removed = F.when(enough, F.size("_at")).otherwise(0).cast("long")
+    clean = F.when(enough, F.col("_clean")).otherwise(F.col("_text"))
+    return opened(found, own, **{text: clean} | {k: v for k, v in (("n_lines", n_lines), ("n_removed", n_removed)) if k != text})
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,11 @@
    representatives and looks only at buckets that still hold several components.
    Rounds go on as long as they link a fair share of the pairs they make.
 4. Then the members of buckets that still hold several components are compared across them: the
-   smaller components of a bucket against all of it, in blocks of BLOCK members with their texts,
-   so that only links leave a task. A pair is compared in its first common bucket. So no link
-   between different texts is lost, and pairs that aren't linked are never written out.
+   smaller components of a bucket against all of it. Both sides are dealt into groups of about
+   BLOCK members, and each pair of groups is a block of its own with its texts, so that a task
+   holds two groups at a time however large the bucket is, and only links leave it. A pair is
+   compared in its first common bucket. So no link between different texts is lost, and pairs
+   that aren't linked are never written out.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; one
 word is a single shingle; repeated rows of a doc_id count as one document (the first text by
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyglass.llm.common import dropped, remember_only, remembers, small_batches, table, written
+from tallyglass.llm.common import dropped, keyed, remember_only, remembers, small_batches, table, written
 
 BANDS, ROWS = 40, 5
 #: Low bits kept of each minimum: two of 32.
@@ -45,7 +47,7 @@ SHINGLE = 2
 NUMERATOR, DENOMINATOR = 80, 100
 #: Rounds with other representatives go on while one pair in so many is linked, and end here.
 LEAST_YIELD, ROUNDS = 20, 8
-#: Members of a bucket that one block holds; a larger bucket is dealt over several blocks.
+#: Members of a bucket on each side of a block, about: a larger bucket is dealt over several.
 BLOCK = 1024
 #: Tables of ids of up to so many rows (16 MB) may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -253,6 +255,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per row of ``docs``: _id, _n (set size), component_id."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("_text"), F.xxhash64(F.col(f"`{text}`")).alias("_th"))
+    spark = docs.sparkSession
     sketches = written(source.mapInPandas(partial(_sketched, shingle=shingle), _SKETCH), "sketches")
     # classes of equal sets: the document of smallest id stands for all
     one = sketches.where("_n > 0 and _id is not null").groupBy("_id").agg(F.min(F.struct("_th", "_n", "_fp1", "_fp2")).alias("_f")).select("_id", "_f.*")
@@ -261,9 +264,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = heads.select(F.col("_head").alias("_id"), "_th")
     sigs = written(sketches.select("_id", "_th", "_n", "_bits", "_keys").join(firsts, ["_id", "_th"]).dropDuplicates(["_id"]), "signatures")
     # only buckets of several classes matter
-    keyed = sigs.select("_id", F.explode("_keys").alias("_key"))
-    full = written(keyed.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select("_key"), "full")
-    members = written(keyed.join(full, "_key"), "members")
+    by_key = sigs.select("_id", F.explode("_keys").alias("_key"))
+    full = written(by_key.groupBy("_key").agg(F.count("*").alias("_c")).where("_c > 1").select("_key"), "full")
+    members = written(by_key.join(full, "_key"), "members")
     wanted = written(members.select("_id").distinct().join(firsts, "_id"), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = written(source.join(few, ["_id", "_th"]).dropDuplicates(["_id"]).select("_id", "_text"), "texts")
@@ -294,6 +297,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             comps = written(components(links), "components")
     if links is not None:
         comps = written(components(links), "components")
+    dropped(spark, sigs, full, members, wanted, texts, near)
 
     # back to all documents: class head, then its component
     ids = one.join(heads.drop("_th"), ["_n", "_fp1", "_fp2"]).select("_id", "_head")
@@ -309,40 +313,50 @@ def _across(labelled: DataFrame, near: DataFrame, texts: DataFrame, shingle: int
     """Links (_a, _b) between the components of a bucket, one at least for each two that are linked."""
     sizes = labelled.groupBy("_key", "_comp").agg(F.count("*").alias("_c"))
     tops = sizes.groupBy("_key").agg(F.max(F.struct("_c", "_comp")).alias("_m"), F.sum("_c").alias("_all"))
-    tops = written(tops.select("_key", F.col("_m._comp").alias("_top"), F.ceil(F.col("_all") / BLOCK).cast("int").alias("_blocks")), "tops")
-    rows = labelled.join(tops, "_key").withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
-    rows = rows.withColumn("_rest", F.col("_comp") != F.col("_top"))
-    # members of the largest component go to one block, the others to all blocks of the bucket
-    rows = rows.withColumn("_block", F.explode(F.when(F.col("_rest"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("_own"))))
-    rows = written(rows.select("_key", "_block", "_id", "_comp", "_rest", (F.col("_block") == F.col("_own")).alias("_right")), "blocks")
-    rows = rows.join(near, "_id").join(texts, "_id").repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_id")
-    return rows.select("_key", "_block", "_id", "_comp", "_rest", "_right", "_n", "_bits", "_keys", "_text").mapInPandas(partial(_block_links, shingle=shingle), "_a long, _b long").distinct()
+    dealt = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    tops = tops.select("_key", F.col("_m._comp").alias("_top"), dealt(F.col("_all")).alias("_g"), dealt(F.col("_all") - F.col("_m._c")).alias("_r"))
+    rows = labelled.join(written(tops, "tops"), "_key").withColumn("_rest", F.col("_comp") != F.col("_top"))
+    # all members are one side, those outside of the largest component the other
+    group = lambda n, salt: F.pmod(F.xxhash64("_id", F.lit(salt)), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = rows.withColumns({"_j": group("_g", 1), "_left": F.lit(False)}).withColumn("_i", all_("_r"))
+    left = rows.where("_rest").withColumns({"_i": group("_r", 2), "_left": F.lit(True)}).withColumn("_j", all_("_g"))
+    columns = ["_key", "_i", "_j", "_left", "_id", "_comp", "_rest"]
+    rows = written(left.select(*columns).unionByName(right.select(*columns)), "blocks")
+    rows = rows.join(near, "_id").join(texts, "_id").repartition("_key", "_i", "_j").sortWithinPartitions("_key", "_i", "_j", "_id")
+    return rows.select(*columns, "_n", "_bits", "_keys", "_text").mapInPandas(partial(_block_links, shingle=shingle), "_a long, _b long").distinct()
 
 
 def _block_links(batches: Iterator[pd.DataFrame], shingle: int = SHINGLE) -> Iterator[pd.DataFrame]:
     """Rows sorted by block to the links within each block; a block may span batches."""
-    rest = None
+    held: list[pd.DataFrame] = []
+    now = None
+
+    def links() -> pd.DataFrame:
+        return pd.DataFrame(_links_of(pd.concat(held, ignore_index=True), shingle), columns=["_a", "_b"])
+
     for df in batches:
-        if rest is not None:
-            df = pd.concat([rest, df], ignore_index=True)
         if not len(df):
             continue
-        k, b = df["_key"].to_numpy(), df["_block"].to_numpy()
-        cut = np.concatenate([[0], np.flatnonzero((np.diff(k) != 0) | (np.diff(b) != 0)) + 1]).tolist()
-        out = [x for lo, hi in zip(cut[:-1], cut[1:], strict=True) for x in _links_of(df.iloc[lo:hi], shingle)]
-        rest = df.iloc[cut[-1] :]
-        if out:
-            yield pd.DataFrame(out, columns=["_a", "_b"])
-    if rest is not None and len(rest):
-        yield pd.DataFrame(_links_of(rest, shingle), columns=["_a", "_b"])
+        own = [df[c].to_numpy() for c in ("_key", "_i", "_j")]
+        cut = np.concatenate([[0], np.flatnonzero(np.any([np.diff(c) != 0 for c in own], axis=0)) + 1, [len(df)]]).tolist()
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            block = tuple(c[lo] for c in own)
+            if held and block != now:
+                yield links()
+                held = []
+            now = block
+            held.append(df.iloc[lo:hi])
+    if held:
+        yield links()
 
 
 def _links_of(block: pd.DataFrame, shingle: int = SHINGLE) -> list[tuple[int, int]]:
     key = block["_key"].iloc[0]
     ids, comps, n = (block[c].to_numpy(np.int64) for c in ("_id", "_comp", "_n"))
-    right = np.flatnonzero(block["_right"].to_numpy(bool))
-    left = np.flatnonzero(block["_rest"].to_numpy(bool))
-    if not len(left) or len(block) < 2:
+    is_left, rest = block["_left"].to_numpy(bool), block["_rest"].to_numpy(bool)
+    left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+    if not len(left) or not len(right):
         return []
     bits = np.stack(block["_bits"].to_numpy()).view(np.uint64)
     keys = np.stack(block["_keys"].to_numpy())
@@ -353,13 +367,15 @@ def _links_of(block: pd.DataFrame, shingle: int = SHINGLE) -> list[tuple[int, in
     sets: dict[int, np.ndarray] = {}
 
     def of(i: int) -> np.ndarray:
-        if i not in sets:
-            sets[i] = shingle_set(texts[i], shingle)
-        return sets[i]
+        at = int(ids[i])
+        if at not in sets:
+            sets[at] = shingle_set(texts[i], shingle)
+        return sets[at]
 
     out = []
     for i in left.tolist():
         r = right[(comps[right] != comps[i]) & (np.minimum(n[right], n[i]) * DENOMINATOR >= np.maximum(n[right], n[i]) * NUMERATOR)]
+        r = r[~rest[r] | (ids[r] > ids[i])]  # two of the rest meet twice
         if band and len(r):
             r = r[~(keys[r, :band] == keys[i, :band]).any(1)]  # an earlier common bucket has compared them
         if len(r):
@@ -384,6 +400,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies stays (the smallest id)."""
-    gone = written(near_duplicates(docs).where("_id <> component_id").select(F.col("_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Pipeline stage: one document of each group of near copies stays (the smallest id).
+
+    A document without an id gets one of its text for this; such rows of one text stay together.
+    """
+    own = keyed(F.col("doc_id"), F.col("text"))
+    found = near_duplicates(docs.select(own.alias("_own"), "text"), "_own")
+    gone = written(found.where("_id <> component_id").select(F.col("_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, own == gone["_gone"], "left_anti")
