@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tallyglass import fixtures as fx
 from tallyglass import oracles as sql
@@ -35,7 +36,14 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def by_order() -> WindowSpec:
+    """Line items of an order, in an order that ties can't change."""
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+
+
 def queries() -> dict[str, Query]:
+    import tallyglass.catalogue_texts  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
@@ -259,17 +267,12 @@ def _codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "flatten_goals_actions",
-    """with o as (select o_orderkey, o_custkey, o_orderpriority, row_number() over (partition by o_custkey order by o_orderkey) g from orders where o_custkey % 20 = 0),
+    "flatten_goals_actions_all",
+    """with o as (select o_orderkey, o_custkey, o_orderpriority, row_number() over (partition by o_custkey order by o_orderkey) g from orders),
     a as (select o.*, l_extendedprice, row_number() over (partition by o_orderkey order by l_linenumber, l_extendedprice, l_partkey, l_quantity) i, l_linenumber from o join lineitem on l_orderkey = o_orderkey)
     select lpad(cast(o_custkey as varchar), 14, '0') || ':goal:' || o_orderkey || ':' || g goal_id, lpad(cast(o_custkey as varchar), 14, '0') || ':goal:' || o_orderkey || ':' || g || ':action:' || l_linenumber || ':' || i action_id,
     cast(o_orderkey as varchar) goal_number, l_extendedprice total_funds from a""",
 )
-def _flatten(spark: SparkSession, d: str) -> DataFrame:
-    return _flattened(spark, d, fx.table(spark, d, "orders").where("o_custkey % 20 = 0"))
-
-
-@query("flatten_goals_actions_all", _ORACLES["flatten_goals_actions"].replace(" where o_custkey % 20 = 0", ""))
 def _flatten_all(spark: SparkSession, d: str) -> DataFrame:
     return _flattened(spark, d, fx.table(spark, d, "orders"))
 
@@ -403,12 +406,7 @@ def _currency(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "orders").select("o_orderkey", numeric.currency(raw).alias("amount"), numeric.first_number(rest).alias("rest"))
 
 
-@query("numeric_tokens", "select o_orderkey, [cast(o_orderkey as double), -(o_orderkey % 10 + 0.5e0)] tokens, 2 n from orders where o_orderkey % 10 = 1")
-def _numbers(spark: SparkSession, d: str) -> DataFrame:
-    return _numbered(fx.table(spark, d, "orders").where("o_orderkey % 10 = 1"))
-
-
-@query("numeric_tokens_all", _ORACLES["numeric_tokens"].replace(" where o_orderkey % 10 = 1", ""))
+@query("numeric_tokens_all", "select o_orderkey, [cast(o_orderkey as double), -(o_orderkey % 10 + 0.5e0)] tokens, 2 n from orders")
 def _numbers_all(spark: SparkSession, d: str) -> DataFrame:
     return _numbered(fx.table(spark, d, "orders"))
 
@@ -440,7 +438,7 @@ def _movement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _named(df: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    return df.join(fx.districts(spark, d).select("cds_code", F.col("county").alias("district_name")), "cds_code")
+    return fx.spread(df.join(fx.districts(spark, d).select("cds_code", F.col("county").alias("district_name")), "cds_code"))
 
 
 def _theme_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -529,12 +527,12 @@ _QA = r"""with t as (select doc_id, text, regexp_replace(text, '\s+', ' ', 'g')
 
 @query("line_table_score", f"{_QA} select doc_id, round(case when n >= 5 then hit5 else hit end / n::double, 6) table_score from s")
 def _table_score(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "documents").select("doc_id", F.round(quality.line_table_score(F.col("text")), 6).alias("table_score"))
+    return fx.spread(fx.table(spark, d, "documents")).select("doc_id", F.round(quality.line_table_score(F.col("text")), 6).alias("table_score"))
 
 
 def _qa_chunks(spark: SparkSession, d: str) -> DataFrame:
     low = F.when(F.col("doc_id") % 3 == 0, 0.5).otherwise(0.9)
-    return fx.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("district"), F.col("source").alias("section_type"), F.col("source").alias("section_path"), (F.col("doc_id") % 5).alias("page_start"), F.col("text").alias("body_text"), low.alias("authored_confidence"))
+    return fx.spread(fx.table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("district"), F.col("source").alias("section_type"), F.col("source").alias("section_path"), (F.col("doc_id") % 5).alias("page_start"), F.col("text").alias("body_text"), low.alias("authored_confidence"))
 
 
 @query("qa_issues", "select issue, count(*) n from (select case when greatest(1, length(text) // 4) < 45 then 'too_short' end issue from documents union all select case when greatest(1, length(text) // 4) > 1100 then 'too_long' end from documents union all select case when doc_id % 5 = 0 then 'missing_citation_metadata' end from documents union all select case when doc_id % 3 = 0 then 'low_confidence' end from documents) where issue is not null group by 1")
@@ -549,17 +547,17 @@ def _qa_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query("authored_confidence")
 def _confidence(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "documents").select("doc_id", chunking.authored_confidence("text", F.when(F.col("doc_id") % 2 == 0, 0)).alias("confidence"), F.round(chunking.table_like_score("text"), 6).alias("score"))
+    return fx.spread(fx.table(spark, d, "documents")).select("doc_id", chunking.authored_confidence("text", F.when(F.col("doc_id") % 2 == 0, 0)).alias("confidence"), F.round(chunking.table_like_score("text"), 6).alias("score"))
 
 
 @query("html_lines")
 def _html(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "pages").select("page_id", text.html_lines("html").alias("lines"), text.blocked_page("html").alias("blocked"))
+    return fx.spread(fx.table(spark, d, "pages")).select("page_id", text.html_lines("html").alias("lines"), text.blocked_page("html").alias("blocked"))
 
 
 @query("chunk_pack")
 def _pack(spark: SparkSession, d: str) -> DataFrame:
-    return fx.table(spark, d, "documents").select("doc_id", F.posexplode(chunking.packed(chunking.text_units("text"))).alias("chunk_index", "body_text"))
+    return fx.spread(fx.table(spark, d, "documents")).select("doc_id", F.posexplode(chunking.packed(chunking.text_units("text"))).alias("chunk_index", "body_text"))
 
 
 @query("segment_lines")

@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores, where a table has fewer files than there are cores.
+
+    A file of one row group is one task however many cores there are, and expressions on texts cost
+    far more than moving their rows once. Filters would move such expressions back to the one task,
+    so they stop at a condition that isn't deterministic. A table of many files is left as it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n).where(F.monotonically_increasing_id() >= 0) if len(df.inputFiles()) < n else df
+
+
 def districts(spark: SparkSession, d: str) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     return c.join(n, c.c_nationkey == n.n_nationkey).select(F.col("c_custkey").alias("cds_code"), F.col("n_name").alias("county"), F.col("c_name").alias("district"))
@@ -52,7 +63,7 @@ def goals(spark: SparkSession, d: str) -> DataFrame:
 def metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics with raw measurement texts made from line items."""
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    rows = li.join(o, li.l_orderkey == o.o_orderkey)
+    rows = spread(li.join(o, li.l_orderkey == o.o_orderkey))
     whole = lambda c: F.floor(c).cast("int").cast("string")
     q = F.col("l_quantity")
     return rows.select(
@@ -88,7 +99,7 @@ def indicators(spark: SparkSession, d: str) -> DataFrame:
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """Narrative chunks: the text table, with its source as section type and language as district."""
-    t = table(spark, d, "documents")
+    t = spread(table(spark, d, "documents"))
     return t.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("district"), F.col("source").alias("section_type"), F.col("text").alias("search_text"))
 
 

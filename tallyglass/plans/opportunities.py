@@ -88,6 +88,7 @@ def find_opportunities(
     limit: int = 25,
     include_actions: bool = False,
     action_limit: int = 3,
+    tie_break: bool = True,
 ) -> DataFrame:
     """``tables``: indicators, districts, documents, actions, goals and optionally metrics."""
     of = as_topic(topic)
@@ -130,17 +131,22 @@ def find_opportunities(
     )
     score = opportunity_score(*[F.col(c) for c in ("strict_action_funds", "broad_action_funds", "affected_student_count", "current_status", "outcome_change")])
     rows = rows.withColumns({"opportunity_score": F.round(score, 3), "outcome_read": outcome_read("outcome_change", of.lower_is_better)})
-    rows = rows.orderBy(*ranking(key)).limit(limit)
+    rows = rows.orderBy(*ranking(key, tie_break)).limit(limit)
     if not include_actions:
         return rows
     scope = "strict" if key == "strict_action_funds" else "broad"
     best = top_actions(matching_actions(tables["actions"], tables["documents"], of, scope).join(rows.select("cds_code"), "cds_code", "left_semi"), action_limit)
     nested = best.groupBy("cds_code").agg(F.sort_array(F.collect_list(F.struct("rank", "action_id", "title", "total_funds", "description_snippet", "actionability"))).alias("top_actions"))
-    return rows.join(nested, "cds_code", "left").orderBy(*ranking(key))
+    return rows.join(nested, "cds_code", "left").orderBy(*ranking(key, tie_break))
 
 
-def ranking(key: str) -> list[Column]:
-    """Highest first with the district descending on ties; the score has it ascending."""
+def ranking(key: str, tie_break: bool = True) -> list[Column]:
+    """Highest first with the district descending on ties; the score has it ascending.
+
+    Without tie-break the district counts for the score only, as in the served form of the ranking.
+    """
+    if not tie_break and key != "opportunity_score":
+        return ranking(key)[:1]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     if key == "opportunity_score":
         return [F.col(key).desc(), F.col("district").asc()]
