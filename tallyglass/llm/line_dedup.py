@@ -84,12 +84,15 @@ def _copies(docs: DataFrame) -> DataFrame:
     hashed = F.transform(F.array_distinct(F.filter(trimmed, lambda x: x != "")), lambda x: F.xxhash64(x))
     rows = docs.where("_id is not null").select(F.col("_id").cast("long").alias("_id"), hashed.alias("_lines")).where(F.size("_lines") > 0)
     minima = F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), lambda k: F.array_min(F.transform("_lines", lambda h: F.xxhash64(h, k))))
-    rows = rows.withColumn("_minima", minima)
+    rows = written(rows.withColumn("_minima", minima).select("_id", F.xxhash64("_minima").alias("_sig"), "_minima"), "minima")
+    # documents of equal minima are one class: a group of exact copies is one row from here on
+    classes = written(rows.groupBy("_sig").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.min("_minima").alias("_minima")), "classes")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("_minima", b * ROWS + 1, ROWS)))
-    keys = written(rows.select("_id", F.explode(bands).alias("_key")), "bands")
-    several = keys.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi")).where("_lo <> _hi").select("_key")
-    out = written(keys.join(several, "_key").select(F.col("_id").alias("_copy")).distinct(), "copies")
-    dropped(docs.sparkSession, keys)
+    keys = written(classes.select("_sig", F.explode(bands).alias("_key")), "bands")
+    several = keys.groupBy("_key").agg(F.min("_sig").alias("_lo"), F.max("_sig").alias("_hi")).where("_lo <> _hi").select("_key")
+    linked = keys.join(several, "_key").select("_sig").unionByName(classes.where("_lo <> _hi").select("_sig")).distinct()
+    out = written(rows.select("_id", "_sig").join(linked, "_sig").select(F.col("_id").alias("_copy")).distinct(), "copies")
+    dropped(docs.sparkSession, rows, classes, keys)
     return out
 
 
