@@ -23,7 +23,7 @@ STAGES = [
     ("byte_bpe", byte_bpe.stage),
 ]
 
-#: Language identification and encoding are beyond SQL: tests hold run() against brute force.
+#: Language identification and encoding are beyond SQL: tests hold the near-dedup and encoding stages against brute force.
 ORACLE_SQL = None
 
 
