@@ -92,11 +92,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, arrow_rows: int | None = None, arrow_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return the reread table.
 
     Cuts lineage: a lost executor costs at most the stages since the last written table.
-    ``arrow_rows``: rows of an Arrow batch while this table is made.
+    ``arrow_rows``, ``arrow_bytes``: rows and bytes of an Arrow batch while this table is made.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -104,6 +104,8 @@ def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFram
     own = {CLEANUP: "true"}  # what the write has shuffled is of no further use
     if arrow_rows:
         own["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(arrow_rows)
+    if arrow_bytes:
+        own["spark.sql.execution.arrow.maxBytesPerBatch"] = str(arrow_bytes)
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
