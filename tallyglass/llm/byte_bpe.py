@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import remember_only, remembers, small_batches, table
+from tallyglass.llm.common import opened, remember_only, remembers, sealed, small_batches, table
 
 #: Rank file and pattern of the production query.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -158,6 +158,19 @@ class ByteBpe:
 
         return decode_ids(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids: binary, decoded: binary>: packed ids of each whole text and what they decode to, by one worker."""
+        shared, pattern = self.shared, self.pattern
+
+        @F.pandas_udf("struct<ids: binary, decoded: binary>")
+        def round_trips(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            cache = _cache(shared.value, pattern)
+            for texts in batches:
+                ids = [cache.encode(t) for t in texts]
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([cache.decode(x) for x in ids], dtype=object)})
+
+        return round_trips(text)
+
 
 def unpacked(ids: Column) -> Column:
     """array<bigint> of packed ids, JVM side."""
@@ -171,9 +184,10 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text:
     """``docs`` with ``ids`` (packed), ``n_tokens`` and ``decoded`` (bytes, equal to the text's UTF-8)."""
     small_batches(docs.sparkSession)
     bpe = ByteBpe(docs.sparkSession, ranks, pattern)
-    out = docs.drop("ids", "n_tokens", "decoded").withColumn("ids", bpe.encode(F.col(f"`{text}`")))
-    out = out.withColumn("decoded", bpe.decode(F.col("ids")))
-    return out.withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
+    own = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded")]
+    out = sealed(docs).select("_in", bpe.round_trip(F.col("_in").getField(text)).alias("_both"))
+    ids = F.col("_both.ids")
+    return opened(out, own, ids=ids, decoded=F.col("_both.decoded"), n_tokens=(F.length(ids) / 4).cast("long"))
 
 
 def production_ranks(path: str | None = None) -> tuple[dict[bytes, int], str]:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import remember_only, small_batches, table
+from tallyglass.llm.common import opened, remember_only, sealed, small_batches, table
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
@@ -341,9 +341,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
-    out = docs.drop("lang_pred", "score", "accepted", "_said").withColumn("_said", predict_texts(F.col(f"`{text}`")))
-    out = out.withColumns({"lang_pred": F.col("_said.lang_pred"), "score": F.col("_said.score")}).drop("_said")
-    return out.withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.threshold))
+    own = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
+    out = sealed(docs).select("_in", predict_texts(F.col("_in").getField(text)).alias("_said"))
+    said, score = F.col("_said.lang_pred"), F.col("_said.score")
+    return opened(out, own, lang_pred=said, score=score, accepted=(said != UNKNOWN) & (score >= model.threshold))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
