@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
-    from tallyglass.llm import byte_bpe, centroid_clusters, decontaminate, language_id, license_scan, line_dedup, near_dedup, passages, pseudonyms, quality, token_counts
+    from tallyglass.llm import byte_bpe, centroid_clusters, decontaminate, hard_negatives, language_id, license_scan, line_dedup, near_dedup, passages, pseudonyms, quality, token_counts
 
     return {
         "op1_token_counts": token_counts.op1_token_counts,
@@ -23,11 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": language_id.op6_language_id,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
         "op11_centroid_clusters": centroid_clusters.op11_centroid_clusters,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    from tallyglass.llm import centroid_clusters, decontaminate, license_scan, line_dedup
+    from tallyglass.llm import centroid_clusters, decontaminate, hard_negatives, license_scan, line_dedup
 
-    return {"op3_decontaminate": decontaminate.ORACLE, "op8_license_scan": license_scan.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_centroid_clusters": centroid_clusters.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op8_license_scan": license_scan.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_centroid_clusters": centroid_clusters.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
