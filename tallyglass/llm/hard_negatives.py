@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ from tallyglass.llm.vectors import distance, dot, first_by_row, met, pa_schema,
 
 POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 10, 30, 90, 256
 #: Rows that the axes are fitted on, rows of a leaf of candidates and of anchors, levels of a step.
-SAMPLE_ROWS, LEAF, ANCHOR_LEAF, STEP = 4096, 1024, 128, 3
+SAMPLE_ROWS, LEAF, ANCHOR_LEAF, STEP = 2048, 1024, 128, 3
 #: Leaves that are scored first, for bounds.
 SEEDS = 8
 #: Bits of a code.
@@ -132,36 +131,24 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     return dealt.mapInArrow(task, PACKED)
 
 
-def _balls(nodes: DataFrame) -> DataFrame:
-    """The nodes above: (dim, _up) with the weighted mean of the centres below and a radius over their balls."""
-    parts = nodes.select("dim", "_up", "n", F.posexplode("center").alias("_at", "_c"))
-    mean = parts.groupBy("dim", "_up", "_at").agg((F.sum(F.col("_c") * F.col("n")) / F.sum("n")).alias("_c"))
-    mean = mean.groupBy("dim", "_up").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_c"))), lambda s: s["_c"]).alias("_mean"))  # one entry a component
-    over = nodes.join(mean, ["dim", "_up"]).groupBy("dim", "_up").agg(F.sum("n").alias("n"), F.any_value("_mean").alias("center"), F.max(distance(F.col("center"), F.col("_mean")) + F.col("radius")).alias("radius"))
-    return over.withColumn("radius", F.col("radius") * (1 + SLACK) + SLACK)
+def tree(blocks: DataFrame, bits: int, name: str) -> list[DataFrame]:
+    """Levels from the root to the leaves: (dim, node, up, center, radius); leaves have their block as node.
 
-
-def tree(blocks: DataFrame, bits: int) -> list[DataFrame]:
-    """Levels from the root to the leaves: (dim, node, up, n, center, radius); leaves have their block as node."""
-    own = blocks.select("dim", F.col("code").alias("_up"), F.col("block").alias("node"), "n", "center", "radius")
-    levels = [own.withColumnRenamed("_up", "up")]
-    while True:
-        above = _balls(own)
-        left = max(bits - STEP, 0)
-        node = F.col("_up").alias("node")
-        up = F.shiftright("_up", bits - left)
-        levels.append(above.select("dim", node, (up if bits else F.lit(-1).cast("long")).alias("up"), "n", "center", "radius"))
-        if not bits:
-            return levels[::-1]
-        own = above.withColumn("_up", up)
-        bits = left
-
-
-def kept_tree(levels: list[DataFrame], name: str) -> list[DataFrame]:
-    """The levels as one written table, read by level."""
-    own = [x.withColumn("_level", F.lit(k)) for k, x in enumerate(levels)]
-    nodes = written(reduce(DataFrame.unionByName, own), name)
-    return [nodes.where(F.col("_level") == k).drop("_level") for k in range(len(own))]
+    A node above the leaves is a prefix of the code; its ball has the weighted mean of the leaves'
+    centres and holds their balls. All levels come from one pass over the leaves.
+    """
+    depths = sorted(range(bits, 0, -STEP)) if bits else []
+    depths = [0, *depths]
+    prefix = lambda d: F.shiftright("code", bits - d) if d else F.lit(0).cast("long")
+    at = [F.struct(F.lit(k).alias("level"), prefix(d).alias("node"), (prefix(depths[k - 1]) if k else F.lit(-1).cast("long")).alias("up")) for k, d in enumerate(depths)]
+    by = ["dim", "level", "node", "up"]
+    own = blocks.select("dim", F.explode(F.array(*at)).alias("_at"), "n", "center", "radius").select("dim", "_at.*", "n", "center", "radius")
+    mean = own.select(*by, "n", F.posexplode("center").alias("_i", "_c")).groupBy(*by, "_i").agg((F.sum(F.col("_c") * F.col("n")) / F.sum("n")).alias("_c"))
+    mean = mean.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda s: s["_c"]).alias("_mean"))  # one entry a component
+    above = own.join(mean, by).groupBy(*by).agg(F.any_value("_mean").alias("center"), (F.max(distance(F.col("center"), F.col("_mean")) + F.col("radius")) * (1 + SLACK) + SLACK).alias("radius"))
+    leaves = blocks.select("dim", F.lit(len(depths)).alias("level"), F.col("block").alias("node"), F.col("code").alias("up"), "center", "radius")
+    nodes = written(above.unionByName(leaves), name)
+    return [nodes.where(F.col("level") == k).drop("level") for k in range(len(depths) + 1)]
 
 
 def interval(a: str, c: str) -> tuple[Column, Column]:
@@ -284,7 +271,7 @@ def mined(df: DataFrame, is_anchor: Column, id_column: str = "vec_id", vector_co
     cblocks = written(packed(coded(kept, directions, medians), leaf), "candidate-leaves")
     coarse = max(0, min(bits, math.floor(math.log2(max(n / 100 / anchor_leaf, 1)))))
     ablocks = written(packed(coded(rows.where(is_anchor), directions[:coarse], medians[:coarse]), anchor_leaf), "anchor-leaves")
-    trees = [kept_tree(tree(b, k), f"{side}-nodes") for side, b, k in (("anchor", ablocks, coarse), ("candidate", cblocks, bits))]
+    trees = [tree(b, k, f"{side}-nodes") for side, b, k in (("anchor", ablocks, coarse), ("candidate", cblocks, bits))]
 
     cpacked = cblocks.select(F.col("block").alias("cblock"), "n", "ids", "labels", "vectors")
     apacked = ablocks.select(F.col("block").alias("ablock"), "n", "ids", "labels", "vectors")
