@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator, over its whole table."""
-    from tallyglass.llm import byte_bpe, centroid_clusters, decontaminate, hard_negatives, language_id, license_scan, line_dedup, near_dedup, passages, pseudonyms, quality, token_counts
+    from tallyglass.llm import byte_bpe, centroid_clusters, decontaminate, hard_negatives, language_id, license_scan, line_dedup, near_dedup, nearest, passages, pseudonyms, quality, token_counts
 
     return {
         "op1_token_counts": token_counts.op1_token_counts,
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
         "op11_centroid_clusters": centroid_clusters.op11_centroid_clusters,
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_nearest_neighbours": nearest.op13_nearest_neighbours,
     }
 
 
