@@ -55,9 +55,9 @@ def axes(sample: list[list[int]], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Principal axes of the most common length of the sample, and the medians along them."""
     sizes = [len(v) for v in sample]
     size = max(set(sizes), key=lambda s: (sizes.count(s), s), default=0)
-    x = np.array([v for v in sample if len(v) == size], np.float64).reshape(-1, size)
-    if not size or not len(x):
-        return np.zeros((0, size)), np.zeros(0)
+    if not size:
+        return np.zeros((0, 0)), np.zeros(0)
+    x = np.array([v for v in sample if len(v) == size], np.float64)
     _, _, own = np.linalg.svd(x - x.mean(0), full_matrices=False)
     own = own[: min(bits, len(own))]
     return own, np.median(x @ own.T, axis=0)
