@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyglass.config import TOPICS, Topic
-from tallyglass.plans import directory, opportunities, reports, retrieval
+from tallyglass.plans import directory, inverted, opportunities, reports, retrieval
 
 NEEDED = ("districts", "documents", "actions", "goals", "metrics", "indicators")
 
@@ -17,11 +18,13 @@ NEEDED = ("districts", "documents", "actions", "goals", "metrics", "indicators")
 @dataclass
 class Engine:
     """``tables``: districts, documents, actions, goals, metrics, indicators, and for the other
-    methods chunks, embeddings, profiles, contacts. ``embed`` turns a query into a vector."""
+    methods chunks, embeddings, profiles, contacts. ``embed`` turns a query into a vector;
+    ``index`` answers the text leg of searches in place of a scan of the chunks."""
 
     tables: dict[str, DataFrame]
     embed: Callable[[str], list[float]] | None = None
     scorer: Callable[[list[dict]], dict[object, float]] | None = None
+    index: inverted.Index | None = None
     topics: dict[str, Topic] = field(default_factory=lambda: dict(TOPICS))
 
     @classmethod
@@ -65,7 +68,7 @@ class Engine:
                 vector = self.embed(query)
             except Exception:  # noqa: BLE001  an outside model may fail in any way
                 vector = None
-        return retrieval.search(self.tables["chunks"], self.tables["embeddings"], query, vector, limit, values=filters, cohort=cohort, scorer=self.scorer)
+        return retrieval.search(self.tables["chunks"], self.tables["embeddings"], query, vector, limit, values=filters, cohort=cohort, scorer=self.scorer, lexical=self.index and partial(inverted.bm25, self.index))
 
     def get_chunk(self, chunk_id: object) -> DataFrame:
         """A chunk with its neighbours."""

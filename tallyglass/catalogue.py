@@ -42,7 +42,8 @@ def by_order() -> WindowSpec:
 
 
 def queries() -> dict[str, Query]:
-    import tallyglass.catalogue_texts  # noqa: F401  registers its own
+    import tallyglass.catalogue_index
+    import tallyglass.catalogue_texts  # noqa: F401  these register their own
 
     return dict(_QUERIES)
 

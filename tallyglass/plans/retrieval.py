@@ -182,13 +182,14 @@ def reranked(scored: DataFrame, scorer: Callable[[list[dict]], dict[object, floa
     return rows.orderBy(F.col("rerank_score").desc(), F.col("rrf_score").desc(), "chunk_id")
 
 
-def search(chunks: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | None, limit: int = 10, candidates: int = 80, values: dict[str, object] | None = None, cohort: DataFrame | None = None, scorer: Callable | None = None) -> DataFrame:
+def search(chunks: DataFrame, embeddings: DataFrame, query: str, vector: list[float] | None, limit: int = 10, candidates: int = 80, values: dict[str, object] | None = None, cohort: DataFrame | None = None, scorer: Callable | None = None, lexical: Callable[..., DataFrame] | None = None) -> DataFrame:
     """BM25 and dense candidates, fused, reranked if a scorer is given, and limited, with the chunks.
 
     Without a vector (the embedding failed) the text leg alone answers if it finds something.
+    ``lexical`` takes the place of the scan for the text leg, such as the search of a written index.
     """
     limit = max(1, min(limit, 50))
-    text = bm25(chunks, query, candidates, values=values, cohort=cohort)
+    text = (lexical or bm25)(chunks=chunks, query=query, limit=candidates, values=values, cohort=cohort)
     if vector is None:
         if not query_tokens(query):
             raise ValueError("neither a vector nor a term to search for")
