@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import opened, remember_only, remembers, sealed, small_batches, table
+from tallyglass.llm.common import free_name, opened, remember_only, remembers, sealed, small_batches, table
 
 #: Rank file and pattern of the production query.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -206,7 +206,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their ids and the decoded text as text.
 
-    The decoded text replaces the text, so what later readers see is what the ids stand for.
+    The decoded text replaces the text, so what later readers see is what the ids stand for. ``ids``
+    and ``n_tokens`` come last; where documents have columns of these names, ``_`` is put after the new ones.
     """
-    out = encode_decode(docs, *production_ranks())
-    return out.withColumn("text", F.decode("decoded", "UTF-8")).drop("decoded")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_whole")
+    out = encode_decode(docs.select("text", others), *production_ranks())
+    own = [(F.decode("decoded", "UTF-8") if c == "text" else F.col("_whole").getField(c)).alias(c) for c in docs.columns]
+    return out.select(*own, *[F.col(c).alias(free_name(c, docs.columns)) for c in ("ids", "n_tokens")])

@@ -137,6 +137,13 @@ def opened(df: DataFrame, columns: list[str], **others: Column) -> DataFrame:
     return df.select(*own, *[v.alias(k) for k, v in others.items() if k not in columns])
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores after it until no column has it."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def keyed(doc_id: Column, text: Column) -> Column:
     """The id as a number, or for a null id a number of the text, far above any id in use."""
     return F.coalesce(doc_id.cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62)))

@@ -362,4 +362,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fitted(docs, keep=in_training(F.col("doc_id")))
     if model is None:  # nothing to learn from: nothing can be accepted
         return docs.where(F.lit(False))
-    return predict(docs, model).where("accepted").select(*docs.columns)
+    rows = sealed(docs).select("_in", F.col("_in").getField("text").alias("text"))
+    return predict(rows, model).where("accepted").select("_in.*")

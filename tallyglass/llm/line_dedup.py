@@ -128,9 +128,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: boilerplate lines leave the texts (n_chars follows); every document stays."""
-    out = deduplicated(docs, only_copies=True)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Pipeline stage: boilerplate lines leave the texts (n_chars follows); every document stays, and so do all its other columns."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_whole")
+    out = deduplicated(docs.select("doc_id", "text", "source", others), only_copies=True)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[new.get(c, F.col("_whole").getField(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -43,6 +43,8 @@ PERMUTATIONS = BANDS * ROWS
 WORDS64 = PERMUTATIONS * BITS // 64 + bool(PERMUTATIONS * BITS % 64)
 #: Words of a shingle, unless a caller names another length.
 SHINGLE = 2
+#: Words of a shingle in the pipeline's stage.
+STAGE_SHINGLE = 5
 #: Similarity as a fraction, compared in integers.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Rounds with other representatives go on while one pair in so many is linked, and end here.
@@ -400,11 +402,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near copies stays (the smallest id).
+    """Pipeline stage: one document of each group of near copies, by five words, stays (the smallest id).
 
     A document without an id gets one of its text for this; such rows of one text stay together.
     """
     own = keyed(F.col("doc_id"), F.col("text"))
-    found = near_duplicates(docs.select(own.alias("_own"), "text"), "_own")
+    found = near_duplicates(docs.select(own.alias("_own"), "text"), "_own", shingle=STAGE_SHINGLE)
     gone = written(found.where("_id <> component_id").select(F.col("_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, own == gone["_gone"], "left_anti")

@@ -13,7 +13,8 @@ more than half of its word characters.
 Everything is computed within a row from arrays: no shuffle, no Python.
 
 Defined results: null, empty and blank texts have no words and fail; a line equal to an earlier
-one counts as duplicate; repeated rows are judged each.
+one counts as duplicate; repeated rows are judged each; input columns named as results give way to
+them, all others come back.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyglass.llm.common import table
+from tallyglass.llm.common import opened, sealed, table
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -83,6 +84,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_bits", "_packed", "_pairs", "_at")
 
 
+#: What ``judged`` adds; input columns of these names give way.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "n_lines_removed", "lost_chars", "kept")
+
+
 def line_fails(line: Column) -> Column:
     """True for a line (with a word) that a rule removes."""
     n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
@@ -94,8 +99,7 @@ def line_fails(line: Column) -> Column:
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base counts, cleaned (text), n_lines_removed, lost_chars and kept."""
-    taken = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "n_lines_removed", "lost_chars", "kept") if c in docs.columns and c != text]
-    out = measured(docs.drop(*taken), text)
+    out = measured(sealed(docs).select("_in", F.col("_in").getField(text).alias("_raw")), "_raw")
     out = out.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
     out = out.withColumns(
         {
@@ -105,7 +109,8 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * MOST_LOST)
-    return out.withColumn("kept", kept).drop("_text", "_words", "_lines", "_good")
+    own = [c for c in docs.columns if c not in RESULTS or c == text]
+    return opened(out, own, **{c: kept if c == "kept" else F.col(c) for c in RESULTS if c != text})
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

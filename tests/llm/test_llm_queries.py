@@ -79,11 +79,11 @@ def test_op6_held_out_accuracy(spark, sf, documents):
     assert all(0 <= r["score"] <= 1 for r in by.values())
 
 
-def exact_components(rows):
+def exact_components(rows, n=2):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
-        sets[i] = frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset([tuple(w)] if w else [])
+        sets[i] = frozenset(zip(*[w[k:] for k in range(n)])) if len(w) >= n else frozenset([tuple(w)] if w else [])
     parent = {i: i for i in sets}
 
     def find(x):
