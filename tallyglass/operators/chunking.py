@@ -57,7 +57,8 @@ def useful(text: Column | str) -> Column:
 
 def clean_line(line: Column | str) -> Column:
     """A line without form headers and tails; empty if nothing of the author's is left."""
-    out = reduce(lambda c, p: F.regexp_replace(c, p, ""), R.LINE_REMOVALS, compact(line))
+    pairs = [(p, "") if isinstance(p, str) else p for p in R.LINE_REMOVALS]
+    out = reduce(lambda c, p: strip(F.regexp_replace(c, *p)), pairs, compact(line))
     out = strip(F.regexp_replace(out, R.LINE_TAIL, ""))
     dropped = lambda x: reduce(lambda a, b: a | b, [x.rlike(p) for p in R.LINES_DROPPED])
     return let(out, lambda x: F.when((x == "") | dropped(x) | contains_any(x, R.LINE_MARKERS_DROPPED), F.lit("")).otherwise(x))

@@ -123,7 +123,7 @@ TABLE_STARTS = (
     ("resultado del año", "diferencia actual"),
 )
 
-# What is removed from a line, in order.
+# What is removed from a line, in order; of a pair the second part takes its place.
 LINE_REMOVALS = (
     r"(?i)^.*?Local Control and Accountability Plan(?:\s*\(LCAP\))?\s*\|\s*[A-Z]+ \d{1,2}, \d{4}\s*",
     r"(?i)^(?:\d{4}-\d{2}\s+)?Local Control and Accountability Plan for .+? Page \d+ of \d+\s*",
@@ -137,6 +137,7 @@ LINE_REMOVALS = (
     r"(?i)^Goal and\s+Action #\s+Identified Need\(s\)\s+",
     r"(?i)^How the Action\(s\).+?Metric\(s\) to Monitor\s+Effectiveness\s*",
     r"(?i)^(?:with\s+)?(?:an?\s+)?(?:Improved Services|Planned Percentage of Improved Services)\s+in the Contributing Summary Table rather than.*?as applicable\.\s*",
+    (r"(?i)\bAdditional Concentration Grant Funding\s+A description of the plan for how the additional concentration grant add-on funding.*?as applicable\.\s*", "Additional Concentration Grant Funding: "),
     r"(?i)\b(?:Metric #\s*[\w\s.,/-]{0,80})?Identified Need\(s\)\s+How the Action\(s\).*?Metric\(s\) to Monitor\s*",
 )
 # A line ends where one of these begins.

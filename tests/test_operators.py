@@ -189,3 +189,9 @@ def test_sinks_and_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         load_chunks(spark, str(tmp_path / "land"), "id int, t string", str(tmp_path / "out"), str(tmp_path / "cp"), key="id").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_grant_prompt_becomes_a_heading(spark):
+    line = "Additional Concentration Grant Funding A description of the plan for how the additional concentration grant add-on funding identified above will be used, as applicable. We hire two counselors."
+    df = spark.createDataFrame([(line,)], "t string")
+    assert df.select(chunking.clean_line(F.col("t")).alias("t")).first().t == "Additional Concentration Grant Funding: We hire two counselors."
