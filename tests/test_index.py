@@ -3,12 +3,13 @@
 import os
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyglass import fixtures as fx
 from tallyglass.functions.stem import dictionary, folded, stem
-from tallyglass.plans import inverted, retrieval
+from tallyglass.plans import cells, inverted, retrieval
 from tallyglass.sinks.keyed import Keyed
 
 SCHEMA = "chunk_id long, search_text string, district string, section_type string"
@@ -148,3 +149,27 @@ def test_keyed_upsert_rewrites_touched_partitions(spark, tmp_path):
     with pytest.raises(ValueError, match="kept by"):
         table.replace_children(new, new, "v")
     assert table.upsert(new.limit(0)) == []
+
+
+def test_cells_hold_all_rows_and_reach_the_recall(spark, sf, tmp_path):
+    """Queries are the ids divisible by 20, against all rows. Random vectors: three quarters of the cells."""
+    rows = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    odd = spark.createDataFrame([(9001, None), (9002, [0.0] * 64), (9003, [float("nan")] * 64), (9004, [1.0]), (9005, [None] * 64)], "chunk_id long, embedding array<float>")
+    index = cells.build(rows.unionByName(odd), f"file://{tmp_path}/cells", 64)
+    held = index.vectors().select("chunk_id", "unit", "cell").collect()
+    assert sorted(r.chunk_id for r in held) == sorted(r.chunk_id for r in rows.collect())
+    x, ids = np.array([r.unit for r in held]), np.array([r.chunk_id for r in held])
+    of_cell, n = np.array([r.cell for r in held]), len(index.centroids())
+    hit = total = 0
+    for q in ids[ids % 20 == 0]:
+        v = x[ids == q][0]
+        want = set(ids[np.lexsort((ids, -(x @ v)))[:20]].tolist())
+        probed = np.isin(of_cell, index.nearest_cells(v.tolist(), n * 3 // 4))
+        hit += len(want & set(ids[probed][np.lexsort((ids[probed], -(x[probed] @ v)))[:20]].tolist()))
+        total += 20
+    assert hit >= 0.9 * total
+    some = index.nearest_cells(x[0].tolist(), 3)
+    got = index.search(x[0].tolist(), 500, 3)
+    assert {r.chunk_id for r in got.collect()} == set(ids[np.isin(of_cell, some)].tolist())
+    assert re.search(r"PartitionFilters: .*cell", explained(index.vectors(some)))
+    assert cells.build(rows.limit(0), f"file://{tmp_path}/none", 64).centroids()
