@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,16 @@ def write_tables(tables: dict[str, DataFrame], root: str, append: bool = False,
         writer.parquet(f"{root}/{name}")
 
 
+def write_counted(tables: dict[str, DataFrame], root: str, append: bool = False) -> dict[str, int]:
+    """Write tables as ``write_tables`` does; the rows written of each, counted by the write itself."""
+    out = {}
+    for name, df in tables.items():
+        seen = Observation(f"written-{name}")
+        write_tables({name: df.observe(seen, F.count(F.lit(1)).alias("rows"))}, root, append)
+        out[name] = seen.get["rows"]
+    return out
+
+
 def write_json_lines(df: DataFrame, path: str, sorted_keys: bool = True) -> None:
     out = df.select(*sorted(df.columns)) if sorted_keys else df
     out.write.mode("overwrite").json(path)

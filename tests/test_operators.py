@@ -195,3 +195,17 @@ def test_grant_prompt_becomes_a_heading(spark):
     line = "Additional Concentration Grant Funding A description of the plan for how the additional concentration grant add-on funding identified above will be used, as applicable. We hire two counselors."
     df = spark.createDataFrame([(line,)], "t string")
     assert df.select(chunking.clean_line(F.col("t")).alias("t")).first().t == "Additional Concentration Grant Funding: We hire two counselors."
+
+
+def test_counts_come_from_the_write(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    own = spark.range(10, numPartitions=2).mapInArrow(through, "id long")
+    assert sinks.write_counted({"a": own, "b": spark.range(3), "none": spark.range(0)}, str(tmp_path)) == {"a": 10, "b": 3, "none": 0}
+    assert read.value == 10 and spark.read.parquet(f"{tmp_path}/a").count() == 10
+    assert sinks.write_counted({"b": spark.range(4)}, str(tmp_path), append=True) == {"b": 4} and spark.read.parquet(f"{tmp_path}/b").count() == 7
