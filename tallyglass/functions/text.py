@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,17 +109,61 @@ def joined_text(*cs: Column | str) -> Column:
     return F.concat(*parts)
 
 
-def without_accents(c: Column | str) -> Column:
-    """Latin letters of the Latin-1 and Latin Extended-A blocks without their marks."""
-    import unicodedata
+@cache
+def _decomposed(below: int) -> dict[str, str]:
+    forms = ((chr(i), unicodedata.normalize("NFKD", chr(i))) for i in range(0x80, below) if not 0xD800 <= i < 0xE000)
+    return {c: d for c, d in forms if c != d}
 
-    marked = [chr(i) for i in range(0xC0, 0x180) if len(unicodedata.normalize("NFKD", chr(i))) > 1 and unicodedata.normalize("NFKD", chr(i))[0].isascii()]
-    return F.translate(_col(c), "".join(marked), "".join(unicodedata.normalize("NFKD", x)[0] for x in marked))
+
+def _class(chars: Iterable[str]) -> str:
+    """A character class by ranges."""
+    codes = sorted(map(ord, chars))
+    starts = [x for x, before in zip(codes, [-2, *codes]) if x != before + 1]
+    ends = [x for x, after in zip(codes, [*codes[1:], -2]) if after != x + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
+
+
+def compatible(c: Column | str, marks: bool = False, below: int = 0x3000) -> Column:
+    """The compatibility decomposition of a text: ligatures, full-width forms, letters with marks.
+
+    The table is made from Python's own character data at planning time, of all characters below
+    ``below`` (Hangul syllables, and what follows, need ``sys.maxunicode``). Without ``marks``
+    combining marks go, those of the decompositions and those of the text. With them they stand in
+    the order of the text and the decompositions, which isn't put in canonical order where several
+    marks of different classes follow one letter.
+
+    Most characters become one other: one ``translate`` of the whole text. Only texts that hold one
+    that becomes several are taken apart into characters.
+    """
+    return let(c, lambda t: F.when(t.rlike(r"[^\x00-\x7f]"), _compatible(t, marks, below)).otherwise(t))
+
+
+def _compatible(c: Column, marks: bool, below: int) -> Column:
+    table = _decomposed(min(below, sys.maxunicode + 1))
+    combining = "" if marks else "".join(chr(i) for i in range(0x300, below) if unicodedata.combining(chr(i)))
+    shown = {k: v if marks else "".join(x for x in v if not unicodedata.combining(x)) for k, v in table.items()}
+    one = {k: v for k, v in shown.items() if len(v) == 1}
+    # translate drops characters beyond the end of the second text
+    single = F.translate(c, "".join([*one, *(k for k, v in shown.items() if not v), *combining]), "".join(one.values()))
+    several = {k: v for k, v in shown.items() if len(v) > 1}
+    if not several:
+        return single
+    longest = max(map(len, several.values()))
+
+    def nth(x: Column, n: int) -> Column:
+        """The n-th character of what a character becomes."""
+        has = {k: v for k, v in several.items() if len(v) > n}
+        rest = [k for k in several if k not in has]
+        return F.translate(x, "".join([*has, *rest]), "".join(v[n] for v in has.values()))
+
+    held = _class(several)
+    each = lambda x: F.when(x.rlike(held), F.concat(*[nth(x, n) for n in range(longest)])).otherwise(x)
+    return let(single, lambda t: F.when(t.rlike(held), F.array_join(F.transform(F.split(t, ""), each), "")).otherwise(t))
 
 
 def name_tokens(c: Column | str) -> Column:
     """The words of a district name that tell it from others."""
-    out = without_accents(F.lower(clean(c)))
+    out = compatible(F.lower(clean(c)))
     out = F.regexp_replace(F.regexp_replace(out, r"\([^)]*\)", " "), "[^a-z0-9]+", " ")
     words = F.filter(F.split(out, " "), lambda w: (w != "") & ~w.isin(*NAME_STOP_WORDS))
     named = F.transform(words, lambda w: reduce(lambda x, kv: F.when(w == kv[0], kv[1]).otherwise(x), NAME_REPLACED.items(), w))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyglass.functions.classify import indicator_name
+from tallyglass.functions.documents import json_values
 from tallyglass.functions.numeric import as_flag
 from tallyglass.functions.text import clean, code_of, filled, first_filled, names_match
 
@@ -186,8 +187,8 @@ def dashboard_trends(rows: DataFrame) -> DataFrame:
 
 def indicator_ids(c: Column | str) -> Column:
     """array<int>: the distinct indicator ids anywhere in a JSON text, sorted; 1 to 8 if there are none."""
-    text = F.col(c) if isinstance(c, str) else c
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r'"indicatorId"\s*:\s*"?(\d+)"?'), F.lit(1)), lambda x: x.cast("int"))
+    whole = lambda x: F.when(x.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(x)).otherwise(F.regexp_extract(x, r"^([+-]?\d+)\.\d*$", 1)).try_cast("int")
+    found = F.filter(F.transform(F.coalesce(json_values(c, "indicatorId", "indicatorID"), F.array().cast("array<string>")), whole), lambda x: x.isNotNull())
     ids = F.array_sort(F.array_distinct(found))
     return F.when(F.size(ids) > 0, ids).otherwise(F.sequence(F.lit(1), F.lit(8)))
 
