@@ -20,6 +20,9 @@ _DROPPED = "­​‌‍⁠﻿‎‏‪‫‬‭‮"
 
 SPACE = r"(?U)\s+"
 
+# What SPACE takes for white space.
+_SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -32,7 +35,7 @@ def let(value: Column | str, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, by Unicode's notion of it."""
-    return F.regexp_replace(F.regexp_replace(_col(c), r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.trim(_col(c), F.lit(_SPACES))
 
 
 def clean(c: Column | str, no_data: bool = False) -> Column:
