@@ -43,6 +43,7 @@ def by_order() -> WindowSpec:
 
 def queries() -> dict[str, Query]:
     import tallyglass.catalogue_index
+    import tallyglass.catalogue_rules
     import tallyglass.catalogue_texts  # noqa: F401  these register their own
 
     return dict(_QUERIES)
