@@ -173,3 +173,15 @@ def test_cells_hold_all_rows_and_reach_the_recall(spark, sf, tmp_path):
     assert {r.chunk_id for r in got.collect()} == set(ids[np.isin(of_cell, some)].tolist())
     assert re.search(r"PartitionFilters: .*cell", explained(index.vectors(some)))
     assert cells.build(rows.limit(0), f"file://{tmp_path}/none", 64).centroids()
+
+
+def test_no_word_is_shuffled(spark, whole, sf):
+    """The postings of a group of blocks meet by one exchange, that of the chunks; a change leaves nothing beside the table."""
+    chunks = spark.createDataFrame(ROWS, SCHEMA)
+    rows = inverted.packed(inverted._postings(inverted._dealt(chunks, whole), whole))
+    assert len(re.findall(r"^\(\d+\) Exchange", explained(rows), re.M)) == 1
+    index = inverted.build(chunks, whole.path + "-beside", buckets=4)
+    index.add(spark.createDataFrame([(1, "a q q", "", ""), (9, "b b", "", "")], SCHEMA))
+    got = {(r.term, r.chunk_id, r.tf, r.n, *r.positions) for r in inverted.unpacked(index.postings.read(), index).collect()}
+    want = {(w, i, ws.count(w), len(ws), *[k for k, x in enumerate(ws) if x == w]) for i, ws in [(1, ["a", "q", "q"]), (9, ["b", "b"]), *[(i, (t or "").split()) for i, t, *_ in ROWS if i and i > 1]] for w in ws}
+    assert got == want and not [f for f in os.listdir(index.path.removeprefix("file://")) if "staged" in f]
