@@ -426,8 +426,9 @@ _METRICS = """select l_orderkey, l_linenumber, l_returnflag = 'R' low, cast(floo
 @query("metric_pace", f"""with x as ({_METRICS}), r as (select *, case when low then (b - y) / (b - t) else (y - b) / (t - b) end ratio from x)
   select case when ratio >= 1 then 'at_or_above_target' when ratio >= 1 / 3.0e0 then 'on_track' when ratio >= 0 then 'off_track' else 'moving_away' end status, count(*) n, round(sum(ratio), 3) total from r where b <> t group by 1""")
 def _pace(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.metrics(spark, d).select(numeric.pace("metric_name", "baseline_raw", "year_1_outcome_raw", "year_3_target_raw").alias("p"))
-    return rows.where("p is not null").groupBy("p.status").agg(F.count("*").alias("n"), F.round(F.sum("p.ratio"), 3).alias("total"))
+    texts = ["metric_name", "baseline_raw", "year_1_outcome_raw", "year_3_target_raw"]
+    rows = reports.distinct_texts(fx.metrics(spark, d), texts).select(numeric.pace(*texts).alias("p"), "copies")
+    return rows.where("p is not null").groupBy("p.status").agg(F.sum("copies").alias("n"), F.round(F.sum(F.col("p.ratio") * F.col("copies")), 3).alias("total"))
 
 
 @query("metric_movement", f"with x as ({_METRICS}) select case when m = 0 then 'flat' when low = (m < 0) then 'improving' else 'worsening' end movement, count(*) n from x group by 1")
@@ -440,7 +441,7 @@ def _movement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _named(df: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    return fx.spread(df.join(fx.districts(spark, d).select("cds_code", F.col("county").alias("district_name")), "cds_code"))
+    return df.join(fx.districts(spark, d).select("cds_code", F.col("county").alias("district_name")), "cds_code")
 
 
 def _theme_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -479,11 +480,11 @@ def _overall(spark: SparkSession, d: str) -> DataFrame:
     return reports.overall_progress(_theme_rows(spark, d)).select("scorable_metrics", (F.col("at_or_above_target") + F.col("on_track")).alias("positive"))
 
 
-def _area_rows(spark: SparkSession, d: str) -> DataFrame:
+def _area_rows(spark: SparkSession, d: str, examples: int = 0) -> DataFrame:
     word = F.element_at(F.array(*[F.lit(w) for w in ("Algebra teacher", "Home visit outreach", "Wifi", "Nothing")]), F.col("_k") + 1)
     goals = _named(fx.goals(spark, d).withColumn("description", F.lit("")), spark, d)
     actions = _named(fx.actions(spark, d).withColumn("_k", F.col("action_number").cast("int") % 4).withColumns({"title": word, "description": F.lit("")}), spark, d)
-    return reports.area_rows(goals, actions, _named(fx.metrics(spark, d), spark, d))
+    return reports.area_rows(goals, actions, _named(fx.metrics(spark, d), spark, d), examples)
 
 
 @query("area_rollup", f"""{sql.WITH}, w as (select county, cast(action_number as int) % 4 k, total_funds x from actions join districts using (cds_code)),
@@ -503,14 +504,14 @@ def _area_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query("district_area_examples")
 def _examples(spark: SparkSession, d: str) -> DataFrame:
-    return reports.area_examples(reports.district_areas(_area_rows(spark, d)))
+    return reports.area_examples(reports.district_areas(_area_rows(spark, d, 3)))
 
 
 def _explicit(spark: SparkSession, d: str) -> DataFrame:
     word = F.element_at(F.array(*[F.lit(w) for w in ("SARB outreach (pilot)", "Home visit", "Attendance team", "Library")]), F.col("_k") + 1)
     rows = fx.actions(spark, d).withColumn("_k", F.col("action_number").cast("int") % 4).withColumns({"title": word, "description": F.lit("")})
     # the ordinal: rows of one key are equal but for funds and order number
-    return reports.explicit_actions(_named(rows, spark, d).withColumns({"goal_number": F.col("goal_id"), "action_number": F.concat_ws("/", "goal_id", "action_number"), "ord": F.struct("action_id", "total_funds")}))
+    return reports.explicit_actions(fx.spread(_named(rows, spark, d)).withColumns({"goal_number": F.col("goal_id"), "action_number": F.concat_ws("/", "goal_id", "action_number"), "ord": F.struct("action_id", "total_funds")}))
 
 
 @query("tactic_rollup", f"""{sql.WITH}, e as (select county, cast(action_number as int) % 4 k, goal_id || '/' || action_number key, min(total_funds) f from (select a.*, county, row_number() over (partition by county, goal_id, action_number order by total_funds) r from actions a join districts using (cds_code)) where cast(action_number as int) % 4 < 3 and r = 1 group by 1, 2, 3),

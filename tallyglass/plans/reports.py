@@ -98,7 +98,22 @@ def grouped_outcomes(tables: dict[str, DataFrame], terms: tuple[str, ...]) -> Da
 
 
 def _statuses(prefix: str = "") -> list[Column]:
-    return [F.sum(F.when(F.col("status") == s, 1).otherwise(0)).alias(f"{prefix}{s}") for s in STATUSES]
+    return [_copies(F.col("status") == s).alias(f"{prefix}{s}") for s in STATUSES]
+
+
+def _copies(hit: Column) -> Column:
+    return F.sum(F.when(hit, F.col("copies")).otherwise(0))
+
+
+def _scorable() -> Column:
+    return F.coalesce(_copies(F.col("status").isNotNull()), F.lit(0)).alias("scorable_metrics")
+
+
+def distinct_texts(rows: DataFrame, texts: list[str], *sums: Column) -> DataFrame:
+    """Rows of equal texts as one, with their number as ``copies``: what is read out of texts costs far
+    more than to bring equal ones together. The result is dealt to all cores; filters don't pass that."""
+    by = rows.groupBy(*texts).agg(F.count("*").alias("copies"), *sums)
+    return by.repartition(rows.sparkSession.sparkContext.defaultParallelism).where(F.monotonically_increasing_id() >= 0)
 
 
 def _share(part: Column, whole: Column, digits: int = 4) -> Column:
@@ -106,28 +121,33 @@ def _share(part: Column, whole: Column, digits: int = 4) -> Column:
 
 
 def themed(goals: DataFrame, actions: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row per goal, action and metric: district, theme, kind, dollars, status.
+    """Goals, actions and metrics: district, theme, kind, copies, dollars, status.
 
-    ``metrics`` carries its goal's description as goal_description, which counts for its theme.
+    A row stands for all of a district's that have the same texts: ``copies`` is their number, and
+    dollars are their exact sum. ``metrics`` carries its goal's description as goal_description,
+    which counts for its theme.
     """
     none = F.lit(None).cast("string")
-    zero = F.lit(0.0)
+    zero = F.lit(0).cast("decimal(28,2)")
+    goals = distinct_texts(goals, ["district_name", "description"])
+    actions = distinct_texts(actions, ["district_name", "title", "description"], F.sum(F.coalesce(F.col("total_funds"), F.lit(0.0)).cast("decimal(18,2)")).alias("dollars"))
+    metrics = distinct_texts(metrics, ["district_name", "metric_name", "goal_description", "baseline_raw", "year_1_outcome_raw", "year_3_target_raw"])
     score = numeric.trajectory("metric_name", "baseline_raw", "year_1_outcome_raw", "year_3_target_raw")
     parts = [
-        goals.select("district_name", classify.primary_theme(F.coalesce("description", F.lit(""))).alias("theme_key"), F.lit("goal").alias("kind"), zero.alias("dollars"), none.alias("status")),
-        actions.select("district_name", classify.primary_theme(joined_text("title", "description")).alias("theme_key"), F.lit("action").alias("kind"), F.coalesce(F.col("total_funds"), zero).alias("dollars"), none.alias("status")),
-        metrics.select("district_name", classify.primary_theme(joined_text("metric_name", "goal_description")).alias("theme_key"), F.lit("metric").alias("kind"), zero.alias("dollars"), score["status"].alias("status")),
+        goals.select("district_name", classify.primary_theme(F.coalesce("description", F.lit(""))).alias("theme_key"), F.lit("goal").alias("kind"), "copies", zero.alias("dollars"), none.alias("status")),
+        actions.select("district_name", classify.primary_theme(joined_text("title", "description")).alias("theme_key"), F.lit("action").alias("kind"), "copies", "dollars", none.alias("status")),
+        metrics.select("district_name", classify.primary_theme(joined_text("metric_name", "goal_description")).alias("theme_key"), F.lit("metric").alias("kind"), "copies", zero.alias("dollars"), score["status"].alias("status")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def _kinds() -> list[Column]:
-    return [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"{k}_count") for k in ("goal", "action", "metric")]
+    return [_copies(F.col("kind") == k).alias(f"{k}_count") for k in ("goal", "action", "metric")]
 
 
 def theme_summary(rows: DataFrame) -> DataFrame:
     """Per theme: districts, counts by kind, dollars and their share of all."""
-    dollars = F.sum(F.col("dollars").cast("decimal(18,2)"))
+    dollars = F.sum("dollars")
     by = rows.groupBy("theme_key").agg(F.countDistinct("district_name").alias("districts_with_theme"), *_kinds(), dollars.alias("_d"))
     whole = F.sum("_d").over(Window.partitionBy())  # themes are ten rows
     by = by.withColumn("dollar_share", F.round(F.when(whole > 0, F.col("_d").cast("double") / whole.cast("double")).otherwise(0.0), 6))
@@ -136,23 +156,23 @@ def theme_summary(rows: DataFrame) -> DataFrame:
 
 
 def theme_progress(rows: DataFrame) -> DataFrame:
-    by = rows.groupBy("theme_key").agg(F.count("status").alias("scorable_metrics"), *_statuses())
+    by = rows.groupBy("theme_key").agg(_scorable(), *_statuses())
     share = _share(F.col("at_or_above_target") + F.col("on_track"), F.col("scorable_metrics"))
     return by.select("theme_key", classify.theme_label("theme_key").alias("theme_label"), "scorable_metrics", *STATUSES, share.alias("positive_share")).orderBy(F.col("positive_share").desc(), F.col("scorable_metrics").desc(), "theme_key")
 
 
 def overall_progress(rows: DataFrame) -> DataFrame:
-    by = rows.agg(F.count("status").alias("scorable_metrics"), *_statuses())
+    by = rows.agg(_scorable(), *_statuses())
     return by.withColumn("positive_share", _share(F.col("at_or_above_target") + F.col("on_track"), F.col("scorable_metrics")))
 
 
 def district_progress(rows: DataFrame) -> DataFrame:
     """Per district: counts, shares, a label, and the theme with most dollars (first in order on ties)."""
     place = F.array(*[F.lit(t.key) for t in config.THEMES])
-    spent = rows.where("kind = 'action'").groupBy("district_name", "theme_key").agg(F.sum(F.col("dollars").cast("decimal(18,2)")).alias("_d"))
+    spent = rows.where("kind = 'action'").groupBy("district_name", "theme_key").agg(F.sum("dollars").alias("_d"))
     first = F.when(F.array_position(place, F.col("theme_key")) == 0, 99).otherwise(F.array_position(place, F.col("theme_key")))
     best = spent.groupBy("district_name").agg(F.max(F.struct("_d", (-first).alias("p"), "theme_key")).alias("_b"), F.sum("_d").alias("_all"))
-    by = rows.groupBy("district_name").agg(*_kinds(), F.count("status").alias("scorable_metrics"), *_statuses()).join(best, "district_name", "left")
+    by = rows.groupBy("district_name").agg(*_kinds(), _scorable(), *_statuses()).join(best, "district_name", "left")
     n = F.col("scorable_metrics")
     positive = F.when(n > 0, (F.col("at_or_above_target") + F.col("on_track")) / n).otherwise(0.0)
     away = F.when(n > 0, F.col("moving_away") / n).otherwise(0.0)
@@ -181,16 +201,34 @@ def best_and_worst(progress: DataFrame, n: int = 8, least: int = 10) -> tuple[Da
 # Areas
 
 
-def area_rows(goals: DataFrame, actions: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row per goal, action or metric and matched area, with what the rollups sum."""
-    none, zero = F.lit(None).cast("string"), F.lit(0.0)
-    empty = F.array().cast("array<string>")
-    g = goals.select("district_name", F.lit("goal").alias("kind"), F.col("goal_number").alias("number"), F.col("description").alias("name"), F.explode(classify.area_scores(F.coalesce("description", F.lit("")))).alias("area_key", "match_score"), F.lit(0).alias("title_score"), zero.alias("dollars"), zero.alias("vendor_fit"), none.alias("profile"), empty.alias("movements"), none.alias("first_movement"), none.alias("pace_status"), F.lit(None).cast("double").alias("pace_ratio"))
-    a = actions.withColumns({"_t": classify.area_scores(F.coalesce("title", F.lit("")), "action"), "_p": classify.procurement("title", "description")})
-    a = a.select("district_name", F.lit("action").alias("kind"), F.col("action_number").alias("number"), F.col("title").alias("name"), "_t", "_p", F.coalesce(F.col("total_funds"), zero).alias("dollars"), F.explode(classify.area_scores(joined_text("title", "description"), "action")).alias("area_key", "match_score"))
-    a = a.select("district_name", "kind", "number", "name", "area_key", "match_score", F.coalesce(F.try_element_at("_t", F.col("area_key")), F.lit(0)).alias("title_score"), "dollars", F.col("_p.vendor_fit").alias("vendor_fit"), F.col("_p.profile").alias("profile"), empty.alias("movements"), none.alias("first_movement"), none.alias("pace_status"), F.lit(None).cast("double").alias("pace_ratio"))
-    m = metrics.withColumns({"_m": numeric.movements("metric_name", "current_difference_from_baseline_raw"), "_p": numeric.pace("metric_name", "baseline_raw", "year_1_outcome_raw", "year_3_target_raw")})
-    m = m.select("district_name", F.lit("metric").alias("kind"), F.col("metric_number").alias("number"), F.col("metric_name").alias("name"), F.explode(classify.area_scores(F.coalesce("metric_name", F.lit("")))).alias("area_key", "match_score"), F.lit(0).alias("title_score"), zero.alias("dollars"), zero.alias("vendor_fit"), none.alias("profile"), F.col("_m.movement").alias("movements"), F.try_element_at("_m", F.lit(1))["raw"].alias("first_movement"), F.col("_p.status").alias("pace_status"), F.col("_p.ratio").alias("pace_ratio"))
+def area_rows(goals: DataFrame, actions: DataFrame, metrics: DataFrame, examples: int = 3) -> DataFrame:
+    """Goals, actions and metrics by matched area, with what the rollups sum.
+
+    A row stands for all of a district's that have the same texts: ``copies`` is their number, and
+    dollars are their exact sum. The best ``examples`` actions of every text follow
+    as rows of their own without copies, with their own ``number`` and ``shown_dollars``.
+    """
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("decimal(34,4)")
+    empty, no = F.array().cast("array<string>"), F.lit(None).cast("double")
+    g = distinct_texts(goals, ["district_name", "description"])
+    g = g.select("district_name", F.lit("goal").alias("kind"), "copies", none.alias("number"), F.col("description").alias("name"), F.explode(classify.area_scores(F.coalesce("description", F.lit("")))).alias("area_key", "match_score"), F.lit(0).alias("title_score"), zero.alias("dollars"), no.alias("shown_dollars"), F.lit(0.0).alias("vendor_fit"), none.alias("profile"), empty.alias("movements"), none.alias("first_movement"), none.alias("pace_status"), no.alias("pace_ratio"))
+    a = actions.withColumn("_d", F.coalesce(F.col("total_funds"), F.lit(0.0)))
+    texts = ["district_name", "title", "description"]
+    each = distinct_texts(a, texts, F.sum(F.col("_d").cast("decimal(24,4)")).cast("decimal(34,4)").alias("dollars")).select(*texts, "copies", "dollars", none.alias("number"), no.alias("shown_dollars"))
+    if examples:
+        # within a text scores and fit are equal, so its best by dollars are its best examples
+        order = Window.partitionBy(*texts).orderBy(F.col("_d").desc(), "action_number")
+        best = a.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= examples)
+        each = each.unionByName(best.select(*texts, F.lit(0).cast("long").alias("copies"), zero.alias("dollars"), F.col("action_number").alias("number"), F.col("_d").alias("shown_dollars")))
+    a = each.withColumns({"_t": classify.area_scores(F.coalesce("title", F.lit("")), "action"), "_p": classify.procurement("title", "description")})
+    a = a.select("district_name", F.lit("action").alias("kind"), "copies", "number", F.col("title").alias("name"), "_t", "_p", "dollars", "shown_dollars", F.explode(classify.area_scores(joined_text("title", "description"), "action")).alias("area_key", "match_score"))
+    a = a.select("district_name", "kind", "copies", "number", "name", "area_key", "match_score", F.coalesce(F.try_element_at("_t", F.col("area_key")), F.lit(0)).alias("title_score"), "dollars", "shown_dollars", F.col("_p.vendor_fit").alias("vendor_fit"), F.col("_p.profile").alias("profile"), empty.alias("movements"), none.alias("first_movement"), none.alias("pace_status"), no.alias("pace_ratio"))
+    raw = ["metric_name", "baseline_raw", "year_1_outcome_raw", "year_3_target_raw", "current_difference_from_baseline_raw"]
+    # of metrics with equal texts the first by number is the best example, one without number before all
+    first = F.when(F.count("metric_number") == F.count("*"), F.min("metric_number")).alias("metric_number")
+    m = distinct_texts(metrics, ["district_name", *raw], first)
+    m = m.withColumns({"_m": numeric.movements("metric_name", "current_difference_from_baseline_raw"), "_p": numeric.pace("metric_name", "baseline_raw", "year_1_outcome_raw", "year_3_target_raw")})
+    m = m.select("district_name", F.lit("metric").alias("kind"), "copies", F.col("metric_number").alias("number"), F.col("metric_name").alias("name"), F.explode(classify.area_scores(F.coalesce("metric_name", F.lit("")))).alias("area_key", "match_score"), F.lit(0).alias("title_score"), zero.alias("dollars"), no.alias("shown_dollars"), F.lit(0.0).alias("vendor_fit"), none.alias("profile"), F.col("_m.movement").alias("movements"), F.try_element_at("_m", F.lit(1))["raw"].alias("first_movement"), F.col("_p.status").alias("pace_status"), F.col("_p.ratio").alias("pace_ratio"))
     return reduce(DataFrame.unionByName, [g, a, m])
 
 
@@ -200,17 +238,16 @@ _MONEY = ("action_dollars", "externalizable_dollars")
 
 def _district_sums(rows: DataFrame) -> DataFrame:
     """The one pass over the classified rows: per district and area all counts and exact dollars."""
-    moved = lambda k: F.sum(F.size(F.filter("movements", lambda x: x == k))).alias(f"movement_{k}")
-    paced = lambda names, out: F.sum(F.when(F.col("pace_status").isin(*names), 1).otherwise(0)).alias(out)
-    exact = lambda c: F.sum(c.cast("decimal(24,4)"))
+    moved = lambda k: F.sum(F.size(F.filter("movements", lambda x: x == k)) * F.col("copies")).alias(f"movement_{k}")
+    paced = lambda names, out: _copies(F.col("pace_status").isin(*names)).alias(out)
     return rows.groupBy("district_name", "area_key").agg(
         *_kinds(),
-        exact(F.col("dollars")).alias("action_dollars"),
-        exact(F.col("dollars") * F.col("vendor_fit")).alias("externalizable_dollars"),
+        F.sum("dollars").alias("action_dollars"),
+        F.sum(F.col("dollars") * F.col("vendor_fit").cast("decimal(3,2)")).alias("externalizable_dollars"),
         *[moved(k) for k in MOVEMENTS],
         paced(STATUSES[:2], "pace_positive"),
         paced(STATUSES[2:], "pace_negative"),
-        *[F.sum(F.when(F.col("profile") == p, 1).otherwise(0)).alias(f"_{p}") for p in _PROFILES],
+        *[_copies(F.col("profile") == p).alias(f"_{p}") for p in _PROFILES],
     )
 
 
@@ -234,9 +271,9 @@ def district_areas(rows: DataFrame, examples: int = 3) -> DataFrame:
     """Per district and area: counts, dollars, movement, pace, and the best examples."""
     by = ["district_name", "area_key"]
     out = _with_shares(_rounded_money(_district_sums(rows))).drop(*[f"_{p}" for p in _PROFILES])
-    actions = rows.where("kind = 'action'")
-    order = Window.partitionBy(*by).orderBy(F.col("title_score").desc(), F.col("match_score").desc(), (F.col("dollars") * F.col("vendor_fit")).desc(), "number", "name")
-    best = actions.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= examples).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_r", "name", "dollars"))).alias("_a"))
+    actions = rows.where("shown_dollars is not null")
+    order = Window.partitionBy(*by).orderBy(F.col("title_score").desc(), F.col("match_score").desc(), (F.col("shown_dollars") * F.col("vendor_fit")).desc(), "number", "name")
+    best = actions.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= examples).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_r", "name", F.col("shown_dollars").alias("dollars")))).alias("_a"))
     worsening = F.size(F.filter("movements", lambda x: x == "worsening"))
     bad = F.coalesce(F.col("pace_status").isin(*config.NEGATIVE_STATUSES), F.lit(False))
     metrics = rows.where("kind = 'metric'").withColumns({"_w": worsening, "_b": bad})
