@@ -11,6 +11,9 @@ from tallyglass.operators.chunking import _digit_share
 from tallyglass.operators.dedup import first_of_each
 
 
+ISSUES = ("template_marker", "budget_marker", "table_marker", "table_like", "too_short", "too_long", "missing_citation_metadata", "low_confidence")
+
+
 def _flat(text: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
 
@@ -36,14 +39,23 @@ def body(chunks: DataFrame) -> Column:
     return F.coalesce(*parts, F.lit(""))
 
 
-def with_issues(chunks: DataFrame) -> DataFrame:
+def _markers(text: Column) -> Column:
+    """All markers that the text holds, whatever white space parts their words; one that lacks the longest word of each holds none."""
+    every = tuple(dict.fromkeys(R.QA_TEMPLATE + R.QA_TABLE + R.QA_SOFT_TABLE + R.QA_BUDGET))
+    longest = sorted({max(t.split(), key=len) for t in every})
+    return F.when(contains_any(text, longest), held(_flat(text), every)).otherwise(F.array().cast("array<string>"))
+
+
+def with_issues(chunks: DataFrame, scores: bool = True) -> DataFrame:
     """Chunks with issues (array), table_score and the markers found.
 
     Budget markers count only beside a table issue, table-like lines only beside table or form markers.
+    Without ``scores`` only texts whose issues hang on the score get one; all issues are the same.
     """
-    rows = chunks.withColumn("_b", body(chunks))
-    low = _flat(F.col("_b"))
-    rows = rows.withColumns({"table_score": line_table_score(F.col("_b")), "_n": F.size(_lines(F.col("_b"))), "template_markers": held(low, R.QA_TEMPLATE), "all_table_markers": held(low, R.QA_TABLE), "soft_table_markers": held(low, R.QA_SOFT_TABLE), "budget_markers": held(low, R.QA_BUDGET)})
+    rows = chunks.withColumn("_b", body(chunks)).withColumn("_found", _markers(F.col("_b")))
+    some = lambda terms: F.array_intersect(F.array(*[F.lit(t) for t in terms]), "_found")
+    wanted = lambda c: c if scores else F.when(F.size("_found") > 0, c)
+    rows = rows.withColumns({"table_score": wanted(line_table_score(F.col("_b"))), "_n": wanted(F.size(_lines(F.col("_b")))), "template_markers": some(R.QA_TEMPLATE), "all_table_markers": some(R.QA_TABLE), "soft_table_markers": some(R.QA_SOFT_TABLE), "budget_markers": some(R.QA_BUDGET)})
     rows = rows.withColumn("_hits", F.filter("all_table_markers", lambda m: (m != "contributing actions table") | (F.col("table_score") >= 0.2)))
     template, table = F.size("template_markers") > 0, F.size("_hits") > 0
     like = (F.col("_n") >= 4) & (F.col("table_score") >= 0.42)
@@ -59,7 +71,7 @@ def with_issues(chunks: DataFrame) -> DataFrame:
         ("missing_citation_metadata", blank("district") | blank("section_path") | blank("page_start")),
         ("low_confidence", F.coalesce("authored_confidence", F.lit(0.0)) < 0.75),
     )
-    return rows.withColumn("issues", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in codes]))).drop("_b", "_n", "_hits")
+    return rows.withColumn("issues", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in codes]))).drop("_b", "_n", "_hits", "_found")
 
 
 def issue_rows(chunks: DataFrame) -> DataFrame:
@@ -75,7 +87,7 @@ def hard(issues: str = "issues") -> Column:
 
 def summary(chunks: DataFrame, most_bad: float = R.MOST_BAD, most_table: float = R.MOST_TABLE) -> DataFrame:
     """One row of counts and rates, and whether the gate passes."""
-    rows = with_issues(chunks)
+    rows = with_issues(chunks, scores=False)
     n = F.count("*")
     some = F.sum(F.when(F.size("issues") > 0, 1).otherwise(0))
     bad = F.sum(F.when(hard(), 1).otherwise(0))
@@ -87,7 +99,10 @@ def summary(chunks: DataFrame, most_bad: float = R.MOST_BAD, most_table: float =
 
 
 def issue_counts(chunks: DataFrame) -> DataFrame:
-    return with_issues(chunks).select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "issue")
+    # a generator over the issues would have them made twice, once more for the filter that Spark puts before it
+    counts = with_issues(chunks, scores=False).select("issues").agg(*[F.count(F.when(F.array_contains("issues", k), 1)).alias(k) for k in ISSUES])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("issue"), F.col(k).alias("n")) for k in ISSUES])).alias("_x")).select("_x.*")
+    return rows.where("n > 0").orderBy(F.col("n").desc(), "issue")
 
 
 def wanted_signals(chunks: DataFrame) -> DataFrame:

@@ -98,6 +98,22 @@ def test_quality_gate(spark):
     assert quality.issue_rows(df).count() == 3
 
 
+def test_issue_counts_make_each_chunk_s_issues_once(spark):
+    lines = "\n".join(["Total 12 34", "$ 5", "9 9 9", "a b"] * 20)
+    texts = ["word " * 60, "tiny", lines, f"{lines}\nLCAP\n  Instructions", f"{lines} metric #", f"{lines}\nTotal  Planned Expenditures", "word " * 60 + "Contributing\tActions Table", "x" * 9000 + " ACTION #  TITLE", "", None]
+    rows = [(k, "D", "s", "p", k % 3, 0.5 + k % 2, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "chunk_id int, district string, section_type string, section_path string, page_start int, authored_confidence double, body_text string")
+    want = {}
+    for r in quality.with_issues(df).collect():
+        for k in r.issues:
+            want[k] = want.get(k, 0) + 1
+    out = quality.issue_counts(df)
+    assert {r.issue: r.n for r in out.collect()} == want and {"template_marker", "budget_marker", "table_marker", "table_like"} <= set(want)
+    assert [(r.n, r.issue) for r in out.collect()] == sorted(((n, k) for k, n in want.items()), key=lambda x: (-x[0], x[1]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^\\d]") == 1  # the pattern of the score
+
+
 def test_tables(spark):
     rows = [
         ("d", 1, 0, 0, ["Goal #", "Description", "Type of Goal"]), ("d", 1, 0, 1, ["1", "Better", "Broad"]),
