@@ -208,8 +208,9 @@ def _file_scan(spark: SparkSession, d: str) -> DataFrame:
     path = _folder(spark)
     spark.range(1).select(F.lit("x").alias("value")).write.text(path)  # another kind of file beside
     rows = fx.table(spark, d, "supplier")
-    # a file for each row, in a bounded number of folders; tasks move their own files, not the driver all of them
-    named = rows.select(F.col("s_name").alias("value"), F.pmod("s_suppkey", F.lit(64)).alias("s_part")).repartition("s_part")
+    # a file for each row, in a bounded number of folders; tasks move their own files, not the driver all of them.
+    # A task for each folder: the rows are few bytes but each is a file, and by bytes they would all go to one task.
+    named = rows.select(F.col("s_name").alias("value"), F.coalesce(F.pmod("s_suppkey", F.lit(64)), F.lit(0)).cast("int").alias("s_part")).repartitionById(64, "s_part")
     named.write.mode("append").option("lineSep", "|").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("s_part").text(path)
     found = sources.landed_files(spark, path, "part-*").where(F.col("path").contains("s_part="))
     return found.agg(F.count("*").alias("files"), F.sum(F.col("length") - 1).alias("bytes"))
