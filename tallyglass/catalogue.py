@@ -36,9 +36,13 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: The order of an order's line items.
+IN_ORDER = ("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+
+
 def by_order() -> WindowSpec:
     """Line items of an order, in an order that ties can't change."""
-    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    return Window.partitionBy("l_orderkey").orderBy(*IN_ORDER)
 
 
 def queries() -> dict[str, Query]:

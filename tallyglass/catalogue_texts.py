@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyglass import api, catalogue, sinks, sources, streaming
@@ -244,11 +244,13 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, d: str, head: tuple[str, ...], body: list) -> DataFrame:
-    """One table per order: a header row and a row per line item, short by a cell where it says nothing."""
-    li = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc"), F.lit(1).alias("page"), F.lit(0).alias("table_no"), F.row_number().over(catalogue.by_order()).alias("row_no"), F.array(*body).alias("cells"))
-    heads = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc")).distinct()
-    heads = heads.select("doc", F.lit(1).alias("page"), F.lit(0).alias("table_no"), F.lit(0).alias("row_no"), F.array(*[F.lit(h) for h in head]).alias("cells"))
-    return tables.padded(heads.unionByName(li))
+    """One table per order: a header row and a row per line item (its number: row_no), short by a cell where it says nothing."""
+    by = Window.partitionBy("doc").orderBy(*catalogue.IN_ORDER)
+    li = fx.table(spark, d, "lineitem").withColumn("doc", F.col("l_orderkey").cast("string"))
+    li = li.withColumn("row_no", F.row_number().over(by)).select("doc", "row_no", F.array(*body).alias("cells"))
+    own, heads = F.struct("row_no", "cells"), F.struct(F.lit(0).alias("row_no"), F.array(*[F.lit(h) for h in head]).alias("cells"))
+    rows = li.select("doc", F.lit(1).alias("page"), F.lit(0).alias("table_no"), F.inline(F.when(F.col("row_no") == 1, F.array(heads, own)).otherwise(F.array(own))))
+    return tables.padded(rows, dealt=True)
 
 
 _ROW = "row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice, l_quantity)"
@@ -256,14 +258,14 @@ _ROW = "row_number() over (partition by l_orderkey order by l_linenumber, l_part
 
 @query("plan_table_goals", f"select cast(l_orderkey as varchar) doc, cast({_ROW} as varchar) goal_number, 'Goal text ' || l_returnflag description, case when l_linestatus = 'O' then 'Broad' else '' end goal_type from lineitem")
 def _plan_goals(spark: SparkSession, d: str) -> DataFrame:
-    n = F.row_number().over(catalogue.by_order()).cast("string")
+    n = F.col("row_no").cast("string")
     body = [F.when(F.col("l_returnflag") == "R", F.concat(F.lit("Focus Goal "), n)).otherwise(n), F.concat(F.lit("Goal text "), "l_returnflag"), F.when(F.col("l_linestatus") == "O", "Broad").otherwise("")]
     return tables.goals(_cells(spark, d, ("Goal #", "Description", "Type of Goal"), body)).select("doc", "goal_number", "description", "goal_type")
 
 
 @query("plan_table_actions", f"select cast(l_orderkey as varchar) doc, '1.' || {_ROW} action_number, 'Title ' || l_returnflag title, 'Text' description, cast(floor(l_extendedprice) as double) total_funds, l_linestatus = 'O' contributing from lineitem")
 def _plan_actions(spark: SparkSession, d: str) -> DataFrame:
-    n = F.concat(F.lit("1."), F.row_number().over(catalogue.by_order()).cast("string"))
+    n = F.concat(F.lit("1."), F.col("row_no").cast("string"))
     money = F.concat(F.lit("$"), F.format_number(F.floor("l_extendedprice"), 0))
     body = [n, F.concat(F.lit("Title "), "l_returnflag", F.lit(" (continued)")), F.lit("Text"), money, F.when(F.col("l_linestatus") == "O", "Yes [X]").otherwise("No")]
     return tables.actions(_cells(spark, d, ("Action #", "Title", "Description", "Total Funds", "Contributing"), body)).select("doc", "action_number", "title", "description", "total_funds", "contributing")
@@ -271,7 +273,7 @@ def _plan_actions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("plan_table_metrics", f"select cast(l_orderkey as varchar) doc, '1.' || {_ROW} metric_number, 'Rate ' || l_returnflag metric_name, cast(floor(l_quantity) as double) baseline, cast(floor(l_tax * 100) as double) target from lineitem")
 def _plan_metrics(spark: SparkSession, d: str) -> DataFrame:
-    n = F.concat(F.lit("1."), F.row_number().over(catalogue.by_order()).cast("string"))
+    n = F.concat(F.lit("1."), F.col("row_no").cast("string"))
     percent = lambda c: F.concat(F.lit("All: "), F.floor(c).cast("string"), F.lit("%"))
     body = [n, F.concat(F.lit("Rate "), "l_returnflag"), percent("l_quantity"), F.lit(""), F.lit(""), percent(F.col("l_tax") * 100)]
     out = tables.metrics(_cells(spark, d, ("Metric #", "Metric", "Baseline", "Year 1 Outcome", "Year 2 Outcome", "Target for Year 3 Outcome"), body))

@@ -11,6 +11,9 @@ from tallyglass.functions.text import _col, contains_any, label_and_value, let,
 NUMBER = r"\(?[-+]?\$?\d[\d,]*\.?\d*%?\)?"
 NUMBER_TOKEN = r"(?<![\w])(?:\(?[-+]?\$?\d[\d,]*\.?\d*%?\)?)(?![\w])"
 
+#: The usual measurement cell: a label of plain words, and one plain number. Nothing in it is to be made normal.
+_USUAL_CELL = r"\A[A-Za-z]+(?: [A-Za-z]+)*: \d+(?:\.\d+)?%?\z"
+
 # Names of student groups as they are compared.
 LABEL_ALIASES = {
     "all students": "all",
@@ -105,7 +108,12 @@ def measurement(c: Column | str) -> Column:
 
         return let(_lines(raw), made)
 
-    return let(normal_lines(c, zero_width=False), cell)
+    def usual(raw: Column) -> Column:
+        value = F.substring_index(raw, ": ", -1)
+        entry = F.struct(F.substring_index(raw, ": ", 1).alias("label"), value.alias("value"), F.array(F.rtrim(value, F.lit("%")).try_cast("double")).alias("numeric_values"))
+        return F.struct(raw.alias("raw"), none.alias("context_lines"), F.array(entry).alias("entries"))
+
+    return let(F.coalesce(_col(c).cast("string"), F.lit("")), lambda t: F.when(t.rlike(_USUAL_CELL), usual(t)).otherwise(let(normal_lines(t, zero_width=False), cell)))
 
 
 def label_alias(c: Column | str) -> Column:

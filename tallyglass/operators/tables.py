@@ -6,6 +6,7 @@ lie follows from the first four rows; a row without an id continues the record b
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,8 @@ GOAL_ID = r"^\d+(?:\.\d+)?[A-Za-z]?$"
 RECORD_ID = r"^[A-Za-z]?\d+[A-Za-z]?(?:\([A-Za-z]?\d+[A-Za-z]?\)|\.[A-Za-z]?\d*[A-Za-z]?)*$"
 GOAL_TOKEN = r"(?i)(?:equity multiplier\s+)?(?:broad|focus)?\s*goal\s*(\d+(?:\.\d+)?[A-Za-z]?)"
 HEAD_ROWS = 4
+#: What cells that ``compact`` leaves as they are don't hold, joined by \0.
+_NOT_ALL_PLAIN = r"[^ -~\x00]|  |^ | $| \x00|\x00 "
 
 _GOAL_HEADS = ("goal #", "description", "type of goal")
 _ACTION_HEADS = ("action #", "action title", "title", "description", "total funds", "contributing")
@@ -31,11 +34,17 @@ def goal_number(c: Column) -> Column:
 
 
 def _low(cells: Column) -> Column:
-    return F.filter(F.transform(cells, lambda c: F.lower(compact(c))), lambda c: c != "")
+    """The compacted cells in lower case. Cells that are all plain, the usual case, are told by one scan of the row."""
+    plain = F.transform(cells, lambda c: F.lower(F.coalesce(c, F.lit(""))))
+    return F.when(F.array_join(cells, "\0").rlike(_NOT_ALL_PLAIN), F.transform(cells, lambda c: F.lower(compact(c)))).otherwise(plain)
 
 
 def header_row(cells: Column, kind: Column) -> Column:
     """Whether a row repeats the column names of its kind; rows without text count."""
+    return _names_columns(_low(cells), kind)
+
+
+def _names_columns(low: Column, kind: Column) -> Column:
     hits = lambda low, names, more: F.size(F.filter(low, lambda c: c.isin(*names) | more(c)))
     no = lambda c: F.lit(False)
     is_head = lambda low: (
@@ -45,7 +54,7 @@ def header_row(cells: Column, kind: Column) -> Column:
         .when(kind == "metric", hits(low, _METRIC_HEADS, lambda c: c.startswith("target for year 3") | c.startswith("desired outcome") | c.startswith("current difference")) >= 3)
         .otherwise(False)
     )
-    return let(_low(cells), is_head)
+    return let(F.filter(low, lambda c: c != ""), is_head)
 
 
 def _kind(head: Column) -> Column:
@@ -55,40 +64,65 @@ def _kind(head: Column) -> Column:
     return F.when(has("goal #", "description"), "goal").when(action, "action").when(metric, "metric")
 
 
-def padded(rows: DataFrame) -> DataFrame:
-    """Rows of one table with equally many cells: short ones are filled with empty texts."""
+def padded(rows: DataFrame, dealt: bool = False) -> DataFrame:
+    """Rows of one table with equally many cells: short ones are filled with empty texts.
+
+    They are dealt by document, as records are made, so that a table's and a document's rows are shuffled once.
+    """
+    if not dealt:
+        rows = rows.repartition("doc")
     width = F.max(F.size("cells")).over(Window.partitionBy("doc", "page", "table_no"))
     return rows.withColumn("_w", width).withColumn("cells", F.concat("cells", F.array_repeat(F.lit(""), F.col("_w") - F.size("cells")))).drop("_w")
 
 
-def typed(rows: DataFrame) -> DataFrame:
-    """Body rows with ``kind`` and ``heads``: map of lower-cased column name -> its last place."""
+#: A test of a lower-cased column name, and the place where a table without such a column usually has it.
+Place = tuple[Callable[[Column], Column], int | None]
+
+
+def typed(rows: DataFrame, **places: Place) -> DataFrame:
+    """Body rows with ``kind`` and ``heads``: map of lower-cased column name -> its last place.
+
+    ``places`` add the last place of a column that passes a test. All are worked out once for a table, at its first row.
+    """
     by = Window.partitionBy("doc", "page", "table_no").orderBy("row_no")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_r", F.row_number().over(by))
-    top = F.when(F.col("_r") <= HEAD_ROWS, F.struct("_r", F.transform("cells", lambda c: F.lower(compact(c))).alias("c")))
-    rows = rows.withColumn("_top", F.array_sort(F.collect_list(top).over(whole)))
-    rows = rows.withColumn("kind", let(F.array_join(F.transform("_top", lambda t: F.array_join(t["c"], " ")), " | "), _kind)).where("kind is not null")
-    named = F.flatten(F.transform("_top", lambda t: F.filter(F.transform(t["c"], lambda c, i: F.struct(c.alias("k"), i.alias("v"))), lambda e: e["k"] != "")))
-    last = let(named, lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda o: o["k"] == e["k"])))
-    rows = rows.withColumn("heads", F.map_from_entries(last))
-    return rows.where(~header_row(F.col("cells"), F.col("kind"))).drop("_r", "_top")
-
-
-def _place(test, default: int | None) -> Column:
-    """The place of the last header cell that passes a test, else the usual place."""
-    found = F.transform(F.filter(F.map_entries("heads"), lambda e: test(e["key"])), lambda e: e["value"])
+    rows = rows.withColumn("_low", _low(F.col("cells"))).withColumn("_r", F.row_number().over(by))
+    rows = rows.withColumn("_top", F.collect_list(F.when(F.col("_r") <= HEAD_ROWS, F.struct("_r", F.col("_low").alias("c")))).over(whole))
+    top = F.sort_array("_top")
+    rows = rows.withColumn("_kind", F.when(F.col("_r") == 1, let(F.array_join(F.transform(top, lambda t: F.array_join(t["c"], " ")), " | "), _kind)))
+    named = F.flatten(F.transform(top, lambda t: F.filter(F.transform(t["c"], lambda c, i: F.struct(c.alias("k"), i.alias("v"))), lambda e: e["k"] != "")))
+    first = lambda c: F.when(F.col("_kind").isNotNull(), c)
+    made = {"heads": first(F.map_from_entries(let(named, _lasts)))}
+    if places:
+        # most cells are no column's name: they go before names are compared with each other
+        some = let(F.filter(named, lambda e: reduce(lambda a, b: a | b, [test(e["k"]) for test, _ in places.values()])), _lasts)
+        made["_places"] = first(let(some, lambda es: F.struct(*[_place(es, *p).alias(n) for n, p in places.items()])))
+    rows = rows.withColumns(made)
+    rows = rows.withColumns({n: F.first(c, ignorenulls=True).over(whole) for n, c in {"kind": "_kind", **{n: n for n in made}}.items()}).where("kind is not null")
+    rows = rows.where(~_names_columns(F.col("_low"), F.col("kind"))).drop("_r", "_top", "_low", "_kind")
+    return rows.select("*", "_places.*").drop("_places") if places else rows
+
+
+def _lasts(entries: Column) -> Column:
+    """The last entry of each key."""
+    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["k"] == e["k"]))
+
+
+def _place(entries: Column, test: Callable[[Column], Column], default: int | None) -> Column:
+    """The last of the places of header cells that pass a test, else the usual place."""
+    found = F.transform(F.filter(entries, lambda e: test(e["k"])), lambda e: e["v"])
     return F.coalesce(F.array_max(found), F.lit(default).cast("int"))
 
 
-def _cell(place: Column) -> Column:
-    return F.coalesce(F.get("cells", place), F.lit(""))
+def _cell(place: str) -> Column:
+    return F.coalesce(F.get("cells", F.col(place)), F.lit(""))
 
 
 def goals(rows: DataFrame) -> DataFrame:
-    own = typed(rows).where("kind = 'goal'").withColumn("goal_number", goal_number(F.get("cells", F.lit(0))))
+    own = typed(rows, _description=(_equals("description"), 1), _type=(_equals("type of goal"), 2))
+    own = own.where("kind = 'goal'").withColumn("goal_number", goal_number(F.get("cells", F.lit(0))))
     own = own.where("goal_number is not null")
-    return own.select("doc", "page", "table_no", "row_no", "goal_number", _cell(_place(lambda k: k == "description", 1)).alias("description"), _cell(_place(lambda k: k == "type of goal", 2)).alias("goal_type"), F.array("page").alias("source_pages"))
+    return own.select("doc", "page", "table_no", "row_no", "goal_number", _cell("_description").alias("description"), _cell("_type").alias("goal_type"), F.array("page").alias("source_pages"))
 
 
 def _records(own: DataFrame, starts: Column, fields: list[str], firsts: list[str]) -> DataFrame:
@@ -96,24 +130,31 @@ def _records(own: DataFrame, starts: Column, fields: list[str], firsts: list[str
     by = Window.partitionBy("doc").orderBy("page", "table_no", "row_no")
     own = own.withColumn("_start", starts).withColumn("_rec", F.sum(F.when(F.col("_start"), 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0))).where("_rec > 0")
     order = F.struct("page", "table_no", "row_no")
-    text = lambda c: F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(c).alias("v")))), lambda x: x["v"]), lambda v: v != ""), "\n")
-    return own.groupBy("doc", "_rec").agg(*[F.min_by(c, order).alias(c) for c in firsts], *[text(c).alias(c) for c in fields], F.array_sort(F.array_distinct(F.collect_list("page"))).alias("source_pages"))
+    # a window, not a grouping: that would pack the rows of each record twice, though none has to move
+    record = Window.partitionBy("doc", "_rec").orderBy("page", "table_no", "row_no")
+    rows = own.select("doc", "_rec", F.struct(order.alias("o"), *firsts, *fields).alias("_x"), F.row_number().over(record).alias("_n"), "page", "table_no", "row_no")
+    rows = rows.withColumn("_x", F.sort_array(F.collect_list("_x").over(record.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).where("_n = 1")
+    lines = lambda c: F.array_join(F.filter(F.col(f"_x.{c}"), lambda v: v != ""), "\n")
+    text = lambda c: F.when(F.size("_x") == 1, F.coalesce(F.get(f"_x.{c}", F.lit(0)), F.lit(""))).otherwise(lines(c))
+    return rows.select("doc", "_rec", *[F.get(f"_x.{c}", F.lit(0)).alias(c) for c in firsts], *[text(c).alias(c) for c in fields], F.sort_array(F.array_distinct("_x.o.page")).alias("source_pages"))
 
 
 def metrics(rows: DataFrame) -> DataFrame:
     """Metrics with their measurement cells parsed; a named row with values starts one without id."""
-    at = lambda test, default: _cell(_place(test, default))
-    own = typed(rows).where("kind = 'metric'").select(
+    places = {
+        "metric_name": (lambda k: k == "metric", 1),
+        "baseline_raw": (lambda k: (k == "baseline") | k.startswith("baseline "), 2),
+        "year_1_outcome_raw": (lambda k: k.contains("year 1 outcome") & ~k.contains("current difference"), 3),
+        "year_2_outcome_raw": (lambda k: k.contains("year 2 outcome"), 4),
+        "year_3_target_raw": (lambda k: k.contains("target for year 3") | k.contains("desired outcome"), 5),
+        "current_difference_from_baseline_raw": (lambda k: k.contains("current difference"), 6),
+    }
+    own = typed(rows, **{f"_{n}": p for n, p in places.items()}).where("kind = 'metric'").select(
         "doc", "page", "table_no", "row_no",
         F.coalesce(F.get(F.filter("cells", lambda c: c.rlike(RECORD_ID)), F.lit(0)), F.lit("")).alias("metric_number"),
-        at(lambda k: k == "metric", 1).alias("metric_name"),
-        at(lambda k: (k == "baseline") | k.startswith("baseline "), 2).alias("baseline_raw"),
-        at(lambda k: k.contains("year 1 outcome") & ~k.contains("current difference"), 3).alias("year_1_outcome_raw"),
-        at(lambda k: k.contains("year 2 outcome"), 4).alias("year_2_outcome_raw"),
-        at(lambda k: k.contains("target for year 3") | k.contains("desired outcome"), 5).alias("year_3_target_raw"),
-        at(lambda k: k.contains("current difference"), 6).alias("current_difference_from_baseline_raw"),
+        *[_cell(f"_{n}").alias(n) for n in places],
     )
-    texts = ["metric_name", "baseline_raw", "year_1_outcome_raw", "year_2_outcome_raw", "year_3_target_raw", "current_difference_from_baseline_raw"]
+    texts = list(places)
     some = reduce(lambda a, b: a | b, [F.col(c) != "" for c in texts[1:]])
     own = own.where((F.col("metric_number") != "") | (F.col("metric_name") != "") | some)
     out = _records(own, (F.col("metric_number") != "") | ((F.col("metric_name") != "") & some), texts, ["metric_number"])
@@ -121,20 +162,30 @@ def metrics(rows: DataFrame) -> DataFrame:
     return out.select("doc", number.alias("metric_number"), *texts, measurement("baseline_raw").alias("baseline"), measurement("year_1_outcome_raw").alias("year_1_outcome"), measurement("year_3_target_raw").alias("year_3_target"), "source_pages")
 
 
+_FUNDS = ("lcff funds", "total personnel", "total non-personnel", "other state funds", "local funds", "federal funds")
+
+
 def actions(rows: DataFrame) -> DataFrame:
     """Actions with funds and contributing flag; the goal is the row's own where the table names it."""
-    own = typed(rows).where("kind = 'action'")
-    at = lambda test, default=None: _cell(_place(test, default))
-    funds = [at(lambda k: k.contains("total funds") | k.contains("planned expenditures"))] + [at(_equals(n)) for n in ("lcff funds", "total personnel", "total non-personnel", "other state funds", "local funds", "federal funds")]
-    money = F.coalesce(*[F.when(currency(x).isNotNull(), x) for x in funds], F.lit(""))
+    places = {
+        "_goal": (lambda k: k.isin("goal #", "goal"), None),
+        "_number": (lambda k: k.contains("action #"), 0),
+        "_title": (lambda k: k.contains("action title") | (k == "title"), 1),
+        "_description": (_equals("description"), None),
+        "_contributing": (lambda k: k.contains("contributing to increased or improved services") | (k == "contributing"), None),
+        "_funds": (lambda k: k.contains("total funds") | k.contains("planned expenditures"), None),
+        **{f"_funds{i}": (_equals(n), None) for i, n in enumerate(_FUNDS)},
+    }
+    own = typed(rows, **places).where("kind = 'action'")
+    money = F.coalesce(*[F.when(currency(_cell(p)).isNotNull(), _cell(p)) for p in places if p.startswith("_funds")], F.lit(""))
     own = own.select(
         "doc", "page", "table_no", "row_no",
-        goal_number(at(lambda k: k.isin("goal #", "goal"))).alias("goal_number"),
-        normal_lines(at(lambda k: k.contains("action #"), 0)).alias("action_number"),
-        normal_lines(at(lambda k: k.contains("action title") | (k == "title"), 1)).alias("title"),
-        normal_lines(at(lambda k: k == "description")).alias("description"),
+        goal_number(_cell("_goal")).alias("goal_number"),
+        normal_lines(_cell("_number")).alias("action_number"),
+        normal_lines(_cell("_title")).alias("title"),
+        normal_lines(_cell("_description")).alias("description"),
         money.alias("total_funds_raw"),
-        normal_lines(at(lambda k: k.contains("contributing to increased or improved services") | (k == "contributing"))).alias("contributing_raw"),
+        normal_lines(_cell("_contributing")).alias("contributing_raw"),
     )
     out = _records(own, F.col("action_number").rlike(RECORD_ID), ["title", "description", "total_funds_raw", "contributing_raw"], ["action_number", "goal_number"])
     return out.select("doc", "goal_number", "action_number", without_continued("title").alias("title"), "description", "total_funds_raw", "contributing_raw", currency("total_funds_raw").alias("total_funds"), contributing("contributing_raw").alias("contributing"), "source_pages")
